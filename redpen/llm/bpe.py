@@ -16,6 +16,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 
 WIDEST = 256
-#: Distinct words a worker remembers; beyond it starts anew, so memory is bounded.
-REMEMBERED = 300_000
+#: Distinct words in each of the two generations a worker remembers; when the young one is full it
+#: becomes the old one, so memory is bounded and frequent words stay.
+REMEMBERED = 250_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,7 +90,8 @@ class ByteBPE:
         splits = [(ranks[a], ranks[b[n:]], i) for b, i in ranks.items() for n in range(1, len(b)) if (a := b[:n]) in ranks and b[n:] in ranks]
         self.pairs = PairTable(*(np.array(x, np.int64) for x in zip(*splits, strict=True)))
         self.pair_rank = {(a, b): i for a, b, i in splits}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     # -- pieces ---------------------------------------------------------------------------------
 
@@ -176,25 +179,32 @@ class ByteBPE:
     # -- texts ----------------------------------------------------------------------------------
 
     def learn(self, words: set[str]) -> None:
-        """Encode words not met before. A word is text whose ends are ends of pieces."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        words = [w for w in words if w not in self.known]
-        cut = [[p.encode() for p in self.pieces(w)] for w in words]
+        """Encode words not met before. A word is text whose ends are ends of pieces; known words map
+        to their ids as little-endian 32-bit integers and as decimal text."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = []
+        for w in words - known.keys():
+            if (x := old.get(w)) is not None:
+                known[w] = x
+            else:
+                new.append(w)
+        cut = [self.pieces(w) for w in new]
         distinct = list({p for c in cut for p in c})
-        ids = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
-        for w, c in zip(words, cut, strict=True):
-            x = tuple(i for p in c for i in ids[p])
-            self.known[w] = x, ",".join(map(str, x))
+        ids = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct]), strict=True))
+        for w, c in zip(new, cut, strict=True):
+            x = ids[c[0]] if len(c) == 1 else [i for p in c for i in ids[p]]
+            known[w] = array("i", x).tobytes(), ",".join(map(str, x))
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """(ids, ids as decimal text joined by commas) of each text."""
         cut = [split_words(t) for t in texts]
-        self.learn({w for c in cut for w in c})
+        self.learn(set().union(*cut))
         known = self.known
         for c in cut:
             got = [known[w] for w in c]
-            yield [i for g in got for i in g[0]], ",".join([g[1] for g in got])
+            yield np.frombuffer(b"".join([g[0] for g in got]), np.int32).tolist(), ",".join([g[1] for g in got])
 
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_batch([text or ""]))[0]

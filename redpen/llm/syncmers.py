@@ -31,18 +31,19 @@ def anchor_places(data: Column, k: int = K, s: int = S) -> Column:
     def closed(h: Column) -> Column:
         return F.filter(
             F.sequence(F.lit(1), F.size(h) - (span - 1)),
-            lambda i: F.least(F.get(h, i - 1), F.get(h, i + (span - 2))) <= F.array_min(F.slice(h, i + 1, span - 2)),
+            lambda i: F.least(F.get(h, i - 1), F.get(h, i + (span - 2))) <= F.least(*[F.get(h, i + j) for j in range(span - 2)]),
         )
 
     def smers(b: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(b) - (s - 1)), lambda i: F.xxhash64(F.substring(b, i, F.lit(s))))
 
-    return F.when(F.length(data) < k, F.array().cast("array<int>")).otherwise(let(smers(data), closed))
+    places = let(data, lambda b: let(smers(b), closed))  # a bound array is not copied at each access
+    return F.when(F.length(data) < k, F.array().cast("array<int>")).otherwise(places)
 
 
 def anchors(data: Column, places: Column, k: int = K) -> Column:
     """32-bit hashes of the k-mers at `places`."""
-    return F.transform(places, lambda i: _hash32(F.substring(data, i, F.lit(k))))
+    return let(data, lambda b: F.transform(places, lambda i: _hash32(F.substring(b, i, F.lit(k)))))
 
 
 def sketch(hashes: Column, size: int = SKETCH) -> Column:
