@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op4_byte_bpe
+from .quality import op9_quality_classifier
+from .simhash import op2_simhash_near_dedup
 from .syncmers import op1_document_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
