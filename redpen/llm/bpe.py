@@ -16,6 +16,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -30,7 +31,8 @@ from .common import documents
 WIDEST = 256
 #: Distinct words in each of the two generations a worker remembers; when the young one is full it
 #: becomes the old one, so memory is bounded and frequent words stay.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
+_INT = struct.Struct("=i")
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,19 +92,22 @@ class ByteBPE:
         splits = [(ranks[a], ranks[b[n:]], i) for b, i in ranks.items() for n in range(1, len(b)) if (a := b[:n]) in ranks and b[n:] in ranks]
         self.pairs = PairTable(*(np.array(x, np.int64) for x in zip(*splits, strict=True)))
         self.pair_rank = {(a, b): i for a, b, i in splits}
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.marks = {m: _INT.pack(ranks[m.encode()]) for m in ",."}
+        self.decimal = [str(i) for i in range(len(self.bytes_of))]
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     # -- pieces ---------------------------------------------------------------------------------
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as 32-bit integers in a byte string."""
+        out = [b""] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
-                out[i] = [whole]
+                out[i] = _INT.pack(whole)
             elif len(p) > WIDEST:
-                out[i] = self._by_heap(p)
+                out[i] = array("i", self._by_heap(p)).tobytes()
             else:
                 buckets.setdefault((len(p) + 3) // 4, []).append(i)
         for places in buckets.values():
@@ -112,12 +117,12 @@ class ByteBPE:
                     out[i] = ids
         return out
 
-    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
         n, width = len(pieces), max(map(len, pieces))
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
         size = np.fromiter(map(len, pieces), np.int64, n)
         ids = np.where(np.arange(width) < size[:, None], self.byte_id[raw], -1)
-        out: list[list[int]] = [[]] * n
+        out = [b""] * n
         row = np.arange(n)
         none = np.int32(2**31 - 1)
 
@@ -132,8 +137,9 @@ class ByteBPE:
             best = rank[np.arange(len(ids)), at] if rank.shape[1] else np.full(len(ids), none)
             done = best == none
             if done.any():
-                for i, x, k in zip(row[done].tolist(), ids[done].tolist(), size[done].tolist(), strict=True):
-                    out[i] = x[:k]
+                raw, width = np.ascontiguousarray(ids[done]).tobytes(), 4 * ids.shape[1]
+                for j, (i, k) in enumerate(zip(row[done].tolist(), size[done].tolist(), strict=True)):
+                    out[i] = raw[j * width : j * width + 4 * k]
                 go = ~done
                 ids, rank, at, best, row, size = ids[go], rank[go], at[go], best[go], row[go], size[go]
                 if not len(ids):
@@ -180,12 +186,20 @@ class ByteBPE:
 
     def learn(self, words: set[str]) -> None:
         """Encode words not met before. A word is text whose ends are ends of pieces; known words map
-        to their ids as little-endian 32-bit integers and as decimal text."""
+        to their ids as 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         new = []
+        stems = []
         for w in words - known.keys():
+            if (x := old.get(w)) is not None:
+                known[w] = x
+            elif w[-1] in self.marks and w[1:-1].isalpha():
+                stems.append(w)  # letters and a mark are two pieces
+            else:
+                new.append(w)
+        for w in {w[:-1] for w in stems} - known.keys():
             if (x := old.get(w)) is not None:
                 known[w] = x
             else:
@@ -194,20 +208,24 @@ class ByteBPE:
         distinct = list({p for c in cut for p in c})
         ids = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct]), strict=True))
         for w, c in zip(new, cut, strict=True):
-            x = ids[c[0]] if len(c) == 1 else [i for p in c for i in ids[p]]
-            known[w] = array("i", x).tobytes(), ",".join(map(str, x))
+            known[w] = ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c])
+        for w in stems:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """(ids, ids as decimal text joined by commas) of each text."""
+    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
         cut = [split_words(t) for t in texts]
         self.learn(set().union(*cut))
         known = self.known
         for c in cut:
-            got = [known[w] for w in c]
-            yield np.frombuffer(b"".join([g[0] for g in got]), np.int32).tolist(), ",".join([g[1] for g in got])
+            yield np.frombuffer(b"".join([known[w] for w in c]), np.int32).tolist()
 
     def encode(self, text: str | None) -> list[int]:
-        return next(self.encode_batch([text or ""]))[0]
+        return next(self.encode_batch([text or ""]))
+
+    def as_text(self, ids: list[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join([self.decimal[i] for i in ids])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -244,9 +262,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             for part in range(0, b.num_rows, 256):
                 rows = b.slice(part, 256)
                 counts, of_ids, of_bytes = [], [], []
-                for ids, text in bpe.encode_batch([t or "" for t in rows.column(1).to_pylist()]):
+                for ids in bpe.encode_batch([t or "" for t in rows.column(1).to_pylist()]):
                     counts.append(len(ids))
-                    of_ids.append(hashlib.sha256(text.encode()).hexdigest())
+                    of_ids.append(hashlib.sha256(bpe.as_text(ids).encode()).hexdigest())
                     of_bytes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

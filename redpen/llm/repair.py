@@ -42,7 +42,7 @@ from .bpe import split_words
 from .common import documents, materialise
 
 TERMINALS, END, SHARD, ROUNDS, LEAST = 50_257, 0, 1 << 18, 8, 6
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 # -- ids -----------------------------------------------------------------------------------------
@@ -58,35 +58,50 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a token is written with one character per byte
+            self.n_bytes[i] = len(token)
+        self.marks = {m: np.array(ids, np.int32).tobytes() for m, ids in zip(",.", self.ids([",", "."]), strict=True)}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
-        joined, alone = [], []
-        for w in words - self.known.keys():
-            if (x := self.old.get(w)) is not None:
-                self.known[w] = x
-            elif w[0] == " " and len(w) > 1 and not w[1].isspace() and not w[-1].isspace():
-                joined.append(w)
+        known, old = self.known, self.old
+        new, stems = [], []
+        for w in words - known.keys():
+            if (x := old.get(w)) is not None:
+                known[w] = x
+            elif w[-1] in self.marks and w[1:-1].isalpha():
+                stems.append(w)  # letters and a mark are two pieces
             else:
-                alone.append(w)
+                new.append(w)
+        for w in {w[:-1] for w in stems} - known.keys():
+            if (x := old.get(w)) is not None:
+                known[w] = x
+            else:
+                new.append(w)
+        joined = [w for w in new if w[0] == " " and len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]
+        alone = list(set(new).difference(joined))
         for w, ids in zip(alone, self.ids(alone), strict=True):
-            self.known[w] = np.array(ids, np.int32).tobytes()
-        for start in range(0, len(joined), 2000):
-            part = joined[start : start + 2000]
-            e = self.library.encode("".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, np.int32)
-            # Offsets count characters; a token that ends a word ends where the word ends.
-            token_end = np.fromiter((b for _, b in e.offsets), np.int64, len(ids))
-            word_end = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
-            cut = np.searchsorted(token_end, word_end, "right").tolist()
-            for w, a, b in zip(part, [0, *cut], cut, strict=False):
-                self.known[w] = ids[a:b].tobytes()
+            known[w] = np.array(ids, np.int32).tobytes()
+        parts = [joined[i : i + 2000] for i in range(0, len(joined), 2000)]
+        for part, ids in zip(parts, self.ids(["".join(p) for p in parts]), strict=True):
+            ids = np.array(ids, np.int32)
+            token_end = np.cumsum(self.n_bytes[ids])
+            word_end = np.cumsum([len(w.encode()) for w in part])
+            cut = (4 * np.searchsorted(token_end, word_end, "right")).tolist()
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, cut, strict=True):
+                known[w] = raw[start:end]
+                start = end
+        for w in stems:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [split_words(t) for t in texts]
