@@ -25,6 +25,8 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import documents
 
@@ -271,5 +273,23 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """`columns` of docs (doc_id, text and others) with ids and round_trip: whether they decode to the text."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for b in batches:
+            for part in range(0, b.num_rows, 256):
+                rows = b.slice(part, 256)
+                texts = [t or "" for t in rows.column(len(columns)).to_pylist()]
+                ids = list(bpe.encode_batch(texts))
+                same = [bpe.decode(i) == t.encode() for i, t in zip(ids, texts, strict=True)]
+                made = [pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], *made], [*columns, "n_tokens", "ids", "round_trip"])
+
+    fields = docs.select(*columns).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("round_trip", "boolean")
+    return docs.select(*columns, F.col("text").alias("encoded_text")).mapInArrow(per_batch, fields)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
