@@ -42,7 +42,7 @@ from .bpe import split_words
 from .common import documents, materialise
 
 TERMINALS, END, SHARD, ROUNDS, LEAST = 50_257, 0, 1 << 18, 8, 6
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 # -- ids -----------------------------------------------------------------------------------------
@@ -54,10 +54,14 @@ class LibraryEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # The same model for words of letters only, which are one piece each: cut at spaces, no pattern.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.encode_special_tokens = True
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a token is written with one character per byte
@@ -86,23 +90,35 @@ class LibraryEncoder:
                 known[w] = x
             else:
                 new.append(w)
-        joined = [w for w in new if w[0] == " " and len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]
-        alone = list(set(new).difference(joined))
+        letters, others, alone = [], [], []
+        for w in new:
+            if w[0] != " " or len(w) < 2 or w[1].isspace() or w[-1].isspace():
+                alone.append(w)
+            else:
+                (letters if w[1:].isalpha() else others).append(w)
         for w, ids in zip(alone, self.ids(alone), strict=True):
             known[w] = np.array(ids, np.int32).tobytes()
-        parts = [joined[i : i + 2000] for i in range(0, len(joined), 2000)]
-        for part, ids in zip(parts, self.ids(["".join(p) for p in parts]), strict=True):
-            ids = np.array(ids, np.int32)
-            token_end = np.cumsum(self.n_bytes[ids])
-            word_end = np.cumsum([len(w.encode()) for w in part])
-            cut = (4 * np.searchsorted(token_end, word_end, "right")).tolist()
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(part, cut, strict=True):
-                known[w] = raw[start:end]
-                start = end
+        self._learn_joined(self.letters, letters)
+        self._learn_joined(self.library, others)
         for w in stems:
             known[w] = known[w[:-1]] + self.marks[w[-1]]
 
+    def _learn_joined(self, library, words: list[str], block: int = 200) -> None:
+        """Words that start with a space, many to a string, cut again by the bytes the ids stand for."""
+        known = self.known
+        parts = [words[i : i + block] for i in range(0, len(words), block)]
+        if not parts:
+            return
+        found = library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+        token_end = np.cumsum(self.n_bytes[ids])
+        word_end = np.cumsum([len(w.encode()) for w in words])
+        cut = (4 * np.searchsorted(token_end, word_end, "right")).tolist()
+        raw, start = ids.tobytes(), 0
+        for w, end in zip(words, cut, strict=True):
+            known[w] = raw[start:end]
+            start = end
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [split_words(t) for t in texts]
         self.learn(set().union(*cut))
