@@ -18,31 +18,32 @@ used or left out together; null ids are dealt as one id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, words
 
 ENTROPY, REPEAT, SEED = 0.95, 1.5, 17
-_BITS, _ROUNDS = 5, 8
-
-
-def _entropy(share: str, t: float) -> Column:
-    """Entropy of the weights of exponent t, as an aggregate over sources."""
-    power = F.pow(share, F.lit(t))
-    total = F.sum(power)
-    return F.log(total) - F.lit(t) * F.sum(power * F.log(share)) / total
+_BITS, _ROUNDS = 6, 6
 
 
 def exponent(sources: DataFrame, entropy: float = ENTROPY, repeat: float = REPEAT) -> float:
     """The exponent for `sources` (tokens > 0), by bisection; each pass over the source table asks for
     all midpoints of the next `_BITS` halvings at once."""
-    total = sources.agg(F.sum("tokens")).first()[0]
-    shares = sources.select((F.col("tokens") / F.lit(float(total))).alias("p"))
-    n, least, most = shares.agg(F.count("*"), F.min("p"), F.max("p")).first()
+    n, total, least, most = sources.agg(F.count("*"), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
     if n < 2:
         return 1.0
-    goal = entropy * float(shares.agg(F.log(F.count("*").cast("double"))).first()[0])
+    share = F.col("tokens") / F.lit(float(total))
+
+    def entropies(grid: list[float]) -> list[float]:
+        """Entropy of the weights of each exponent of the grid."""
+        rows = sources.select(share.alias("p"), F.explode(F.array(*map(F.lit, grid))).alias("t"))
+        power = F.pow("p", "t")
+        found = rows.groupBy("t").agg(F.sum(power).alias("z"), F.sum(power * F.log("p")).alias("l"))
+        by = {r.t: r.h for r in found.select("t", (F.log("z") - F.col("t") * F.col("l") / F.col("z")).alias("h")).collect()}
+        return [by[t] for t in grid]
 
     def bisect(reached) -> float:
         """The largest t in [0, 1] that is reached, where 0 is taken as reached."""
@@ -50,15 +51,15 @@ def exponent(sources: DataFrame, entropy: float = ENTROPY, repeat: float = REPEA
         for _ in range(_ROUNDS):
             step = (hi - lo) / (1 << _BITS)
             grid = [lo + step * i for i in range(1, 1 << _BITS)] + [hi]
-            ok = reached(grid)
-            i = next((k for k, good in enumerate(ok) if not good), len(grid))
-            lo, hi = (grid[i - 1] if i else lo), (grid[i] if i < len(grid) else hi)
+            i = next((k for k, good in enumerate(reached(grid)) if not good), len(grid))
             if i == len(grid):
                 return hi
+            lo, hi = (grid[i - 1] if i else lo), grid[i]
         return lo
 
-    by_entropy = bisect(lambda grid: [h >= goal for h in shares.agg(*[_entropy("p", t) for t in grid]).first()])
-    # Repetition falls with t: find the largest t that still repeats too often, from the other end.
+    goal = entropy * math.log(n)
+    by_entropy = bisect(lambda grid: [h >= goal for h in entropies(grid)])
+    # A source is repeated (most / share) ** (1 - t) times, which falls with t.
     by_repeat = 1.0 - bisect(lambda grid: [(most / least) ** u <= repeat for u in grid])
     return max(by_entropy, by_repeat)
 
@@ -91,7 +92,8 @@ def plan(docs: DataFrame, entropy: float = ENTROPY, repeat: float = REPEAT, budg
     edge = materialise(sources.join(edge, "mix_source", "left"), "mix-edges")
     last = rows.join(edge.select("mix_source", "blocks", "edge", "rest"), "mix_source").where(block == F.col("edge"))
     last = last.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("mix_source").orderBy("mix_order"))).where("upto <= rest")
-    return rows, edge.join(last.groupBy("mix_source").agg(F.max("mix_order").alias("edge_order")), "mix_source", "left")
+    edge = edge.join(last.groupBy("mix_source").agg(F.max("mix_order").alias("edge_order")), "mix_source", "left")
+    return rows, materialise(edge, "mix-plan")  # of known size, so the joins with it choose by that
 
 
 def copies() -> Column:
