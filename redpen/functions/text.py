@@ -120,6 +120,27 @@ def between(text: Column, left: str = "【", right: str = "】") -> Column:
     return F.regexp_extract(text, f"{left}\\s*(.+?)\\s*{right}", 1)
 
 
+def unbracketed(text: Column, fallback: Column, pairs: str = "【】[]()（）", depth: int = 8) -> Column:
+    """A text without the bracket pairs around it, at most `depth` of them; the fallback if that equals
+    the fallback without its own."""
+
+    def once(t: Column) -> Column:
+        t = F.trim(t)
+        for a, b in zip(pairs[::2], pairs[1::2], strict=True):
+            t = F.when((F.length(t) >= 2) & F.startswith(t, F.lit(a)) & F.endswith(t, F.lit(b)), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+        return t
+
+    strip = lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(depth)), t, lambda acc, _: once(acc))
+    inner = strip(text)
+    return F.when(inner == strip(fallback), fallback).otherwise(inner)
+
+
+def reversed_runs(text: Column, kept: str = "[a-zA-Z0-9 :*./%+-]") -> Column:
+    """Right-to-left order: characters are reversed, but runs of `kept` ones stay as they read."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){kept}+|."), F.lit(0))
+    return F.array_join(F.reverse(pieces), "")
+
+
 def deletion_label(a: Column, gt: Column) -> Column:
     """1 where the truth is longer and only misses characters at one end of the reading."""
     return ((F.length(gt) > F.length(a)) & (F.endswith(gt, a) | F.startswith(gt, a))).cast("int")
