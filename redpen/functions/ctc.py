@@ -98,3 +98,37 @@ def crop(xs: Column, share: float, side: str) -> Column:
     """An array without `share` of its columns at one side."""
     cut = F.floor(F.size(xs) * F.lit(share)).cast("int")
     return F.slice(xs, cut + 1, F.size(xs) - cut) if side == "left" else F.slice(xs, F.lit(1), F.size(xs) - cut)
+
+
+def aligned_steps(matrix: Column, chars: Column, blank: int = 0) -> Column:
+    """(strategy, steps): for each of `chars` characters the steps that stand for it.
+
+    Best-path runs without blanks are characters. As many as wanted: each its own run. Off by a few:
+    surplus runs are dropped at the end, and missing characters take the last step. Off by up to 30
+    percent: runs in order, and steps of highest entropy that no run holds for what is missing. Further
+    off: steps dealt out evenly.
+    """
+    best = F.transform(matrix, argmax)
+
+    def build(b: Column) -> Column:
+        t = F.size(b)
+        starts = F.filter(F.sequence(F.lit(0), t - 1), lambda i: (F.get(b, i) != blank) & ((i == 0) | (F.get(b, i - 1) != F.get(b, i))))
+
+        def with_runs(s: Column) -> Column:
+            run = lambda i: F.filter(F.sequence(i, t - 1), lambda j: ~F.exists(F.sequence(i, j), lambda k: F.get(b, k) != F.get(b, i)))
+            runs = F.transform(s, run)
+            n = F.size(s)
+            kind = alignment_kind(n, chars)
+            h = entropy(matrix)
+            free = F.filter(F.sequence(F.lit(0), t - 1), lambda i: F.get(b, i) == blank)
+            peaks = F.transform(F.array_sort(F.transform(free, lambda i: F.struct((-F.get(h, i)).alias("h"), i.alias("i")))), lambda x: F.array(x["i"]))
+            last = F.array_repeat(F.array(t - 1), F.greatest(chars - n, F.lit(0)))
+            few = F.slice(F.concat(runs, last), F.lit(1), chars)
+            greedy_ = F.slice(F.concat(runs, peaks, last), F.lit(1), chars)
+            even = F.transform(uniform_alignment(t, chars), lambda u: F.sequence(u["start"], u["end"] - 1))
+            steps = F.when(kind == "perfect_match", runs).when(kind == "tolerant_align", few).when(kind == "greedy_align", greedy_).otherwise(even)
+            return F.struct(kind.alias("strategy"), F.when(chars > 0, steps).otherwise(F.array().cast("array<array<int>>")).alias("steps"))
+
+        return _let(starts, with_runs)
+
+    return _let(best, build)

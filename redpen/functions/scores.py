@@ -117,3 +117,11 @@ def logistic(features: Sequence[Column], weights: Sequence[float], bias: float)
     for x, w in zip(features, weights, strict=True):
         z = (z + x.cast("float") * F.lit(float(w)).cast("float")).cast("float")
     return _d(1) / (_d(1) + F.exp(-clip(z.cast("double"), -500, 500)))
+
+
+def padded_logistic(features: Column, weights: Sequence[float], bias: float) -> Column:
+    """Logistic score of a feature array that is cut to the weights or filled with zeros."""
+    w = F.array(*[F.lit(float(x)).cast("float") for x in weights])
+    x = F.slice(F.concat(F.transform(features, lambda v: v.cast("float")), F.array_repeat(F.lit(0.0).cast("float"), len(weights))), 1, len(weights))
+    z = F.aggregate(F.zip_with(x, w, lambda a, b: (a * b).cast("float")), F.lit(float(bias)).cast("float"), lambda acc, v: (acc + v).cast("float"))
+    return _d(1) / (_d(1) + F.exp(-clip(z.cast("double"), -500, 500)))
