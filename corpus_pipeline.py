@@ -17,7 +17,7 @@ from redpen.llm.common import documents, materialise
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, does not reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, docs.columns).where(F.col("quality_score") >= quality.CUT).drop("quality_score")
+    return quality.scored(docs, model, docs.columns).where(F.col("score") >= quality.CUT).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ furnished with boilerplate: it stays whole, for a near-duplicate stage to judge.
 
 The site is `source`; a null one is a site of its own. Null text counts as empty and stays null.
 Rows with a null doc_id count for the spread and keep their text. Rows that share a doc_id are one
-document. Other columns pass through.
+document. Other columns pass through, except ones named n_lines or n_removed, which appear twice.
 """
 
 from __future__ import annotations
@@ -41,21 +41,23 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, most: float = MOST, site: str = "source") -> DataFrame:
     """`docs` with `text` cleaned, and n_lines and n_removed."""
+    # The row goes along as one struct, so its column names cannot meet those made here.
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
     bad = boilerplate(docs, min_sites, min_chars, site)
     lines = docs.select("doc_id", F.explode(F.array_distinct(_lines(F.col("text")))).alias("l")).where(F.char_length("l") >= min_chars)
     # The distinct hashes to cut from each document; no text moves, and hot lines meet a small side.
     cuts = lines.select("doc_id", F.xxhash64("l").alias("line")).join(bad, "line").where("doc_id != keeper")
-    cuts = cuts.groupBy("doc_id").agg(F.collect_set("line").alias("cut_lines"))
-    found = docs.join(cuts, "doc_id", "left").withColumn("all_lines", _lines(F.col("text")))
-    kept = F.when(F.col("cut_lines").isNull(), F.col("all_lines")).otherwise(
-        F.filter("all_lines", lambda x: ~((F.char_length(x) >= min_chars) & F.array_contains("cut_lines", F.xxhash64(x))))
+    cuts = cuts.groupBy("doc_id").agg(F.collect_set("line").alias("cut"))
+    found = rows.join(cuts, "doc_id", "left").select("row", "cut", _lines(F.col("row.text")).alias("all"))
+    kept = F.when(F.col("cut").isNull(), F.col("all")).otherwise(
+        F.filter("all", lambda x: ~((F.char_length(x) >= min_chars) & F.array_contains("cut", F.xxhash64(x))))
     )
-    found = found.withColumn("kept_lines", kept).withColumn("clean", F.array_join("kept_lines", "\n"))
-    whole = F.col("cut_lines").isNull() | (F.char_length("clean") < F.char_length("text") * F.lit(1 - most))
+    found = found.withColumn("kept", kept).withColumn("clean", F.array_join("kept", "\n"))
+    whole = F.col("cut").isNull() | (F.char_length("clean") < F.char_length("row.text") * F.lit(1 - most))
     return found.select(
-        *[F.when(whole, F.col("text")).otherwise(F.col("clean")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size("all_lines").cast("long").alias("n_lines"),
-        F.when(whole, F.lit(0)).otherwise(F.size("all_lines") - F.size("kept_lines")).cast("long").alias("n_removed"),
+        *[F.when(whole, F.col("row.text")).otherwise(F.col("clean")).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns],
+        F.size("all").cast("long").alias("n_lines"),
+        F.when(whole, F.lit(0)).otherwise(F.size("all") - F.size("kept")).cast("long").alias("n_removed"),
     )
 
 

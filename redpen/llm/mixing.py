@@ -72,7 +72,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, entropy: float = ENTROPY, repeat: float = REPEAT, budget: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, sources): the slim rows (doc_id, source, n_tokens and where they are dealt), and per source its weight,
     epochs, blocks, and where the last, partial epoch ends."""
-    rows = _dealt(docs).select("doc_id", "source", "mix_source", "mix_deal", "mix_order", words(F.coalesce("text", F.lit(""))).cast("long").alias("n_tokens"))
+    rows = _dealt(docs.select("doc_id", "source", "text")).select("doc_id", "source", "mix_source", "mix_deal", "mix_order", words(F.coalesce("text", F.lit(""))).cast("long").alias("n_tokens"))
     rows = materialise(rows, "mix-rows")
     sources = materialise(rows.groupBy("mix_source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), "mix-sources")
     used = sources.where("tokens > 0")
@@ -106,8 +106,10 @@ def copies() -> Column:
 def mixed(docs: DataFrame, **limits) -> DataFrame:
     """`docs` with each row as often as the mix uses it."""
     _, sources = plan(docs, **limits)
-    found = _dealt(docs).join(sources, "mix_source").withColumn("mix_copies", copies())
-    return found.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
+    # The row goes along as one struct, so its column names cannot meet those made here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
+    found = _dealt(rows).join(sources, "mix_source").select("row", copies().alias("n")).where("n > 0")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

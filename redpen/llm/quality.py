@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """`columns` of docs (text among them or not) with `quality_score`."""
+    """(row, score): `columns` of docs as one struct, so no name can clash, and the text's score."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     cache: list[Model] = []
 
@@ -167,17 +167,17 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             cache.append(pickle.loads(held.value))
         for b in batches:
             for start in range(0, b.num_rows, 512):
-                rows = b.slice(start, 512)
-                score = cache[0].score([t or "" for t in rows.column(rows.num_columns - 1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(rows.num_columns - 1)), pa.array(score, pa.float64())], [*columns, "quality_score"])
+                part = b.slice(start, 512)
+                score = cache[0].score([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["row", "score"])
 
-    given = docs.select(*columns, F.col("text").alias("scored_text"))
-    fields = given.select(*columns).schema
-    return given.mapInArrow(per_batch, fields.add("quality_score", "double"))
+    given = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("scored_text"))
+    return given.mapInArrow(per_batch, given.select("row").schema.add("score", "double"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = scored(docs, model, ["doc_id"])
-    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= CUT).cast("int").alias("predicted"))
+    doc_id = F.col("row.doc_id")
+    return found.select(doc_id, F.coalesce(fold(doc_id) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
