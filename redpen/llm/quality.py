@@ -2,8 +2,9 @@
 
 Every word has a sparse ternary index vector drawn from its hash. The vector of a word is the sum of
 the index vectors around it in the training texts (random indexing), for at most `VOCABULARY` words;
-any other word takes the vector of its shape (lower, upper, title, digits, marks, mixed). A document
-is the mean of its words' vectors, with its log length, share of distinct words and share of
+any other word takes the vector of its shape (lower, upper, title, digits, marks, mixed), and one that
+repeats a word just before it the vector of a repetition. A document is the mean of its words'
+vectors, as a direction and a length, with its log length, share of distinct words and share of
 repetitions. A two-layer numpy network turns that into a logit, divided by a temperature fitted on
 training rows that the network did not see, so scores are calibrated probabilities.
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import documents
 
 SAMPLE, VOCABULARY, DIM, NONZERO, REACH, HIDDEN, CUT = 5_000, 20_000, 128, 8, 2, 48, 0.3
-_SHAPES = ["<lower>", "<upper>", "<title>", "<digits>", "<marks>", "<mixed>"]
+_SHAPES = ["<lower>", "<upper>", "<title>", "<digits>", "<marks>", "<mixed>", "<again>"]
+_AGAIN = _SHAPES.index("<again>")
 _tokens = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 
 
@@ -74,19 +76,25 @@ class WordVectors:
         self.vectors = (found + index / np.linalg.norm(index, axis=1, keepdims=True)).astype(np.float32)
 
     def ids(self, text: str) -> np.ndarray:
-        get = self.place.get
-        return np.array([i if (i := get(w)) is not None else _shape(w) for w in _tokens(text)], np.int64)
+        get, words = self.place.get, _tokens(text)
+        ids = np.array([i if (i := get(w)) is not None else _shape(w) for w in words], np.int64)
+        again = [a == b or (a == c and a.isalpha()) for a, b, c in zip(words[1:], words, ["", *words], strict=False)]
+        ids[1:][again] = _AGAIN
+        return ids
 
     def pooled(self, text: str) -> np.ndarray:
-        """The document's vector: mean of word vectors, then three figures of its length and repetition."""
+        """The document's vector: direction and length of the mean word vector, then three figures of
+        its own length and repetition."""
         ids = self.ids(text)
         n = len(ids)
-        out = np.zeros(DIM + 3, np.float32)
+        out = np.zeros(DIM + 4, np.float32)
         if n:
             uses = np.bincount(ids)
             used = np.flatnonzero(uses)
-            out[:DIM] = (uses[used] / n).astype(np.float32) @ self.vectors[used]
-            out[DIM:] = np.log1p(n) / 10, len(used) / n, float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0
+            mean = (uses[used] / n).astype(np.float32) @ self.vectors[used]
+            size = float(np.linalg.norm(mean))
+            out[:DIM] = mean / max(size, 1e-9)
+            out[DIM:] = size, np.log1p(n) / 10, len(used) / n, (uses[_AGAIN] / n if len(uses) > _AGAIN else 0.0)
         return out
 
 
@@ -98,7 +106,7 @@ class Network:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         order = draw.permutation(len(x))
         held, rest = order[: len(x) // 5], order[len(x) // 5 :]
-        z = (x - self.mean) / self.scale
+        z = self._scaled(x)
         w = [draw.normal(0, np.sqrt(2 / z.shape[1]), (z.shape[1], hidden)), np.zeros(hidden), draw.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
         m, v, step = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
         for _ in range(rounds):
@@ -119,8 +127,12 @@ class Network:
             losses = [(float(np.mean(np.logaddexp(0, logit / k) - t * logit / k)), k) for k in np.geomspace(0.25, 8, 61)]
             self.temperature = min(losses)[1]
 
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        """Standardised; what lies far outside the training rows counts as lying at their rim."""
+        return np.clip((x - self.mean) / self.scale, -6, 6)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.maximum(((x - self.mean) / self.scale) @ self.w[0] + self.w[1], 0)
+        h = np.maximum(self._scaled(x) @ self.w[0] + self.w[1], 0)
         return h @ self.w[2] + self.w[3]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
