@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -21,7 +21,7 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: StructType) -> D
 
 def from_json_lines(df: DataFrame, column: str, schema: StructType) -> DataFrame:
     """The objects of a text column; null, blank, bad and non-object lines are left out."""
-    bad = schema.add("__bad", StringType()) if "__bad" not in schema.names else schema
+    bad = StructType([*schema.fields, StructField("__bad", StringType())])
     rows = df.select(F.from_json(column, bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r")).where("r is not null and r.__bad is null")
     return rows.select("r.*").drop("__bad")
 
