@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt out over them; a larger one, as on a
+    cluster, is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _thousandth(factor: int, below: int = 1000) -> Column:
     return ((F.col("row_idx") * F.lit(factor)) % below).cast("double") / F.lit(1000.0)
 
@@ -28,7 +35,7 @@ def _thousandth(factor: int, below: int = 1000) -> Column:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_idx, doc_id, domain, source, gt): the folded text of every document in lines of WIDTH."""
     folded = F.regexp_replace("text", "[^!-~ ]", "?")
-    found = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"), "source", F.posexplode(F.regexp_extract_all(folded, F.lit(f".{{1,{WIDTH}}}"), F.lit(0))).alias("n", "gt"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", F.col("lang").alias("domain"), "source", F.posexplode(F.regexp_extract_all(folded, F.lit(f".{{1,{WIDTH}}}"), F.lit(0))).alias("n", "gt"))
     return found.select((F.col("doc_id") * STRIDE + F.col("n")).alias("row_idx"), "doc_id", "domain", "source", "gt")
 
 
