@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import documents
+from .common import documents, spread
 
 WIDEST = 256
 #: Distinct words in each of the two generations a worker remembers; when the young one is full it
@@ -270,7 +270,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     of_bytes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.select("doc_id", "text")).mapInArrow(per_batch, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
@@ -288,7 +288,7 @@ def encoded(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], *made], [*columns, "n_tokens", "ids", "round_trip"])
 
     fields = docs.select(*columns).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("round_trip", "boolean")
-    return docs.select(*columns, F.col("text").alias("encoded_text")).mapInArrow(per_batch, fields)
+    return spread(docs.select(*columns, F.col("text").alias("encoded_text"))).mapInArrow(per_batch, fields)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

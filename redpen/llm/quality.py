@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, spread
 
 SAMPLE, VOCABULARY, DIM, NONZERO, REACH, HIDDEN, CUT = 5_000, 20_000, 128, 8, 2, 48, 0.3
 _SHAPES = ["<lower>", "<upper>", "<title>", "<digits>", "<marks>", "<mixed>", "<again>"]
@@ -183,7 +183,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
                 score = cache[0].score([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["row", "score"])
 
-    given = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("scored_text"))
+    given = spread(docs.select(F.struct(*columns).alias("row"), F.col("text").alias("scored_text")))
     return given.mapInArrow(per_batch, given.select("row").schema.add("score", "double"))
 
 

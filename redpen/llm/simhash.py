@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import Forest
-from .common import documents, materialise
+from .common import documents, materialise, spread
 from .components import components
 
 RADIUS, SHINGLE, HOT = 4, 4, 20_000
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(per_batch, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, fp long")
 
 
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:

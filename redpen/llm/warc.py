@@ -24,6 +24,8 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import spread
+
 DATE = "1970-01-01T00:00:00Z"  # pages carry no fetch time
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:redpen:warc")
 
@@ -159,7 +161,7 @@ def derivatives(pages: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     ddl = "page_id long, " + ", ".join(f"{f.name} {'long' if f.name == 'content_length' else 'string'}" for f in list(_SCHEMA)[1:])
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(per_batch, ddl)
+    return spread(pages.selectExpr("cast(page_id as long) page_id", "url", "html")).mapInArrow(per_batch, ddl)
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
