@@ -16,7 +16,7 @@ where it has none with an id). Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +48,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp, length): the fingerprint as a signed long, and the number of words."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            texts = [t.as_py() or "" for t in b.column(1)]
+            fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            length = pa.array([len(t.encode().split()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), length], ["doc_id", "fp", "length"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, fp long, length long")
 
 
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -89,6 +91,24 @@ def shards(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
     return dealt.select(F.struct("i", "x", "t.j", "t.y").alias("shard"), "fp", "node")
 
 
+def _by_whole_shards(batches: Iterator[pa.RecordBatch], columns: int, answer: Callable[..., pa.RecordBatch], batch: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """`answer` over rows in order of their first column, some batches at a time, no shard cut in two."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        if b.num_rows:
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
+            rows += b.num_rows
+        if rows >= batch:  # all but the last shard, which may go on, is complete
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.searchsorted(parts[0], parts[0][-1]))
+            if end:
+                yield answer(*(p[:end] for p in parts))
+            held, rows = [[p[end:] for p in parts]], len(parts[0]) - end
+    if rows:
+        yield answer(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def shard_links(dealt: DataFrame, radius: int, batch: int = 200_000) -> DataFrame:
     """(u, v): links within each shard of `dealt`, one for each node that reaches an earlier one."""
 
@@ -97,28 +117,13 @@ def shard_links(dealt: DataFrame, radius: int, batch: int = 200_000) -> DataFram
         moved = np.flatnonzero(to != np.arange(len(to)))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[to[moved]])], ["u", "v"])
 
-    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
-        for b in batches:
-            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            rows += b.num_rows
-            if rows >= batch:  # all but the last shard, which may go on, is complete
-                shard, fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
-                end = int(np.searchsorted(shard, shard[-1]))
-                if end:
-                    yield forest(shard[:end], fp[:end], node[:end])
-                held, rows = [[shard[end:], fp[end:], node[end:]]], len(shard) - end
-        if rows:
-            yield forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
     coded = dealt.select(F.xxhash64("shard").alias("shard"), "fp", "node")
     # Two shards whose hashes collide form one tree, which may only add true links.
-    return coded.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(per_partition, "u long, v long")
+    return coded.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(lambda batches: _by_whole_shards(batches, 3, forest, batch), "u long, v long")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of `docs` (doc_id, text): the smallest doc_id reachable
+    """(doc_id, fp, length, component_id) for each row of `docs` (doc_id, text): the smallest doc_id reachable
     by links of at most `radius` differing bits."""
     prints = materialise(fingerprints(docs, shingle), "simhash")
     nodes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
@@ -131,9 +136,95 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
     return prints.join(of_fp, "fp", "left")
 
 
+# -- similarity of 0.8 and more ------------------------------------------------------------------
+
+SIMILAR, SIMILAR_WORDS, WIDE, BANDS, BAND_BITS, NEAREST, BLOCK = 0.8, 5, 12, 64, 16, 6, 4096
+_MASKS = [sum(1 << int(b) for b in np.random.default_rng(1000 + i).permutation(64)[:BAND_BITS]) for i in range(BANDS)]
+
+
+def shingles(text: str | None, n: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's n-word shingles, sorted."""
+    words = (text or "").encode().lower().split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), 42) for i in range(max(1, len(words) - n + 1))], np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def wide_pairs(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
+    """(u, v): candidates for a similarity that a few bits cannot show, of `nodes` (fp, node, length).
+
+    Fingerprints that agree on one of `BANDS` seeded choices of `BAND_BITS` bits meet in a shard, whose
+    BK-tree gives each its `NEAREST` neighbours within `radius` of like length. A shard of more than
+    `BLOCK` is searched in runs of that many in order of value, so the work grows with its size only.
+    """
+
+    def near(shard: np.ndarray, fp: np.ndarray, node: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        first = np.r_[True, shard[1:] != shard[:-1]]
+        begin = np.maximum.accumulate(np.where(first, np.arange(len(shard)), 0))
+        run = np.cumsum(first) * (1 << 32) + (np.arange(len(shard)) - begin) // BLOCK
+        forest = Forest(run, fp.view(np.uint64))
+        found = []
+        start, cost = 0, np.cumsum(forest.tree_size)
+        while start < len(fp):
+            end = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + (1 << 20), "right")))
+            q, n = forest.within(np.arange(start, end), radius)
+            like = np.minimum(length[q], length[n]) >= SIMILAR * 0.95 * np.maximum(length[q], length[n])
+            q, n = q[like], n[like]
+            order = np.lexsort((n, np.bitwise_count(forest.value[q] ^ forest.value[n]), q))
+            q, n = q[order], n[order]
+            at = np.arange(len(q)) - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0)) if len(q) else q
+            found.append(np.stack([node[q[at < NEAREST]], node[n[at < NEAREST]]]))
+            start = end
+        pair = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)
+        pair = np.unique(np.sort(pair, axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(_MASKS)])
+    dealt = nodes.select(F.explode(keys).alias("shard"), "fp", "node", "length").repartition("shard").sortWithinPartitions("shard", "fp")
+    return dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 4, near), "u long, v long").distinct()
+
+
+def similar_links(docs: DataFrame, pairs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (u, v) of doc_ids whose texts share at least `least` of their shingles, exactly."""
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[str | None, np.ndarray] = {}
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if len(seen) > 64:
+                    seen.clear()
+                for t in (x, y):
+                    if t not in seen:
+                        seen[t] = shingles(t)
+                keep.append(jaccard(seen[x], seen[y]) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    with_a = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
+    both = with_a.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(exact, "u long, v long")
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """`docs` without the documents whose class has a smaller doc_id. Rows with a null doc_id stay."""
-    gone = classes(docs, radius, shingle).where("doc_id != component_id").select("doc_id").distinct()
+    """`docs` without the near copies of a document of smaller doc_id: those of its class, by links of
+    `radius` bits, and by links of documents that share `SIMILAR` of their shingles of five words. Of
+    the latter links the wide search finds all but a few hundredths, and each is checked on the texts.
+    Rows with a null doc_id stay."""
+    found = materialise(classes(docs, radius, shingle), "simhash-classes").where("doc_id is not null")
+    nodes = found.groupBy("fp").agg(F.min_by(F.struct("doc_id", "length"), "doc_id").alias("n"), F.min("component_id").alias("c"))
+    nodes = materialise(nodes.select("fp", F.col("n.doc_id").alias("node"), F.col("n.length").alias("length"), "c").where("length > 0"), "simhash-nodes")
+    of = nodes.groupBy("node").agg(F.min("c").alias("c"))
+    pairs = wide_pairs(nodes).join(of.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
+    links = similar_links(docs, materialise(pairs.where("cu != cv").select("u", "v"), "simhash-pairs"))
+    links = links.join(of.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
+    merged = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "simhash-similar")
+    final = found.join(merged, found.component_id == merged.node, "left").select("doc_id", F.coalesce("component", "component_id").alias("least"))
+    gone = final.where("doc_id != least").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -97,3 +97,27 @@ def test_odd_rows(spark):
 def test_a_doc_id_with_two_texts_links_them(spark):
     rows = [(1, "a b c d e f"), (2, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z")]
     assert {(r.doc_id, r.component_id) for r in simhash.classes(documents(spark, rows)).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_similar_documents_merge_and_others_stay(spark):
+    random.seed(6)
+    words = ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows, want = [], set()
+    for i in range(60):
+        base = [random.choice(words) for _ in range(200)]
+        rows.append((10 * i, " ".join(base)))
+        want.add(10 * i)
+        for k, edits in enumerate((1, 2, 3), 1):  # at most 15 of 196 shingles change on each side
+            copy = list(base)
+            for at in random.sample(range(200), edits):
+                copy[at] = "edited" + str(random.random())
+            rows.append((10 * i + k, " ".join(copy)))
+        far = list(base)
+        for at in range(0, 200, 8):
+            far[at] = "far" + str(random.random())
+        rows.append((10 * i + 9, " ".join(far)))
+        want.add(10 * i + 9)
+    sets = {i: simhash.shingles(t) for i, t in rows}
+    assert all(simhash.jaccard(sets[10 * i], sets[10 * i + 3]) >= 0.8 > 0.3 > simhash.jaccard(sets[10 * i], sets[10 * i + 9]) for i in range(60))
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).select("doc_id").collect()}
+    assert want <= kept and len(kept - want) <= 3
