@@ -28,14 +28,15 @@ from .bktree import Forest
 from .common import documents, materialise, spread
 from .components import components
 
-RADIUS, SHINGLE, HOT = 4, 4, 20_000
+RADIUS, SHINGLE, HOT, SKETCH = 4, 4, 20_000, 32
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text: a bit is set if more than half of the shingle hashes have it."""
+def signature(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
+    """(fingerprint, words, sketch) of a text. A bit of the 64-bit SimHash is set if more than half of
+    the shingle hashes have it; the sketch holds the `SKETCH` smallest distinct hashes, in 32 bits."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return 0, 0, b""
     data = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
@@ -44,20 +45,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(data[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64)
     ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    least = np.unique(hashes)[:SKETCH]
+    sketch = (least >> np.uint64(32)).astype("<u4").tobytes()
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]), len(words), sketch
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return signature(text, shingle)[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, length): the fingerprint as a signed long, and the number of words."""
+    """(doc_id, fp, length, sketch): `signature` of each text, the fingerprint as a signed long."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() or "" for t in b.column(1)]
-            fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            length = pa.array([len(t.encode().split()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), length], ["doc_id", "fp", "length"])
+            found = [signature(t.as_py(), shingle) for t in b.column(1)]
+            fp = np.array([f for f, _, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([n for _, n, _ in found], pa.int64()), pa.array([k for _, _, k in found], pa.binary())], ["doc_id", "fp", "length", "sketch"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, fp long, length long")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, fp long, length long, sketch binary")
 
 
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -123,7 +129,7 @@ def shard_links(dealt: DataFrame, radius: int, batch: int = 200_000) -> DataFram
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, length, component_id) for each row of `docs` (doc_id, text): the smallest doc_id reachable
+    """(doc_id, fp, length, sketch, component_id) for each row of `docs` (doc_id, text): the smallest doc_id reachable
     by links of at most `radius` differing bits."""
     prints = materialise(fingerprints(docs, shingle), "simhash")
     nodes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
@@ -138,7 +144,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
 
 # -- similarity of 0.8 and more ------------------------------------------------------------------
 
-SIMILAR, SIMILAR_WORDS, WIDE, BANDS, BAND_BITS, NEAREST, BLOCK = 0.8, 5, 12, 64, 16, 6, 4096
+SIMILAR, SIMILAR_WORDS, WIDE, BANDS, BAND_BITS, NEAREST, BLOCK, LIKELY = 0.8, 5, 14, 64, 16, 6, 4096, 0.45
 _MASKS = [sum(1 << int(b) for b in np.random.default_rng(1000 + i).permutation(64)[:BAND_BITS]) for i in range(BANDS)]
 
 
@@ -187,6 +193,25 @@ def wide_pairs(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 4, near), "u long, v long").distinct()
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, least: float = LIKELY) -> DataFrame:
+    """The pairs (u, v) whose sketches (node, sketch) agree so far that they may be similar: chance
+    neighbours go before any text is moved. The estimate of a pair at the limit of similarity is five
+    deviations above `least`."""
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = np.union1d(p, q)[:SKETCH]
+                keep.append(len(np.intersect1d(np.intersect1d(p, q), both)) >= least * len(both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    with_a = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
+    both = with_a.join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(estimate, "u long, v long")
+
+
 def similar_links(docs: DataFrame, pairs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs (u, v) of doc_ids whose texts share at least `least` of their shingles, exactly."""
     wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
@@ -216,11 +241,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     the latter links the wide search finds all but a few hundredths, and each is checked on the texts.
     Rows with a null doc_id stay."""
     found = materialise(classes(docs, radius, shingle), "simhash-classes").where("doc_id is not null")
-    nodes = found.groupBy("fp").agg(F.min_by(F.struct("doc_id", "length"), "doc_id").alias("n"), F.min("component_id").alias("c"))
-    nodes = materialise(nodes.select("fp", F.col("n.doc_id").alias("node"), F.col("n.length").alias("length"), "c").where("length > 0"), "simhash-nodes")
+    nodes = found.groupBy("fp").agg(F.min_by(F.struct("doc_id", "length", "sketch"), "doc_id").alias("n"), F.min("component_id").alias("c"))
+    nodes = materialise(nodes.select("fp", F.col("n.doc_id").alias("node"), "n.length", "n.sketch", "c").where("length > 0"), "simhash-nodes")
     of = nodes.groupBy("node").agg(F.min("c").alias("c"))
     pairs = wide_pairs(nodes).join(of.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
-    links = similar_links(docs, materialise(pairs.where("cu != cv").select("u", "v"), "simhash-pairs"))
+    pairs = likely(pairs.where("cu != cv").select("u", "v"), nodes.groupBy("node").agg(F.min("sketch").alias("sketch")))
+    links = similar_links(docs, materialise(pairs, "simhash-pairs"))
     links = links.join(of.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
     merged = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "simhash-similar")
     final = found.join(merged, found.component_id == merged.node, "left").select("doc_id", F.coalesce("component", "component_id").alias("least"))
