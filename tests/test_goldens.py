@@ -384,3 +384,13 @@ def test_calibrator_meets_the_penalised_optimum(spark):
     gradient = x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - y)) + np.array([w[0], w[1], 0.0])
     assert np.abs(gradient).max() < 0.05
     assert calibration.Calibrator.from_config(model.to_config()) == model
+
+
+def test_ranks_over_many_ranges(spark):
+    random.seed(12)
+    rows = [(i, random.choice("ab"), random.choice([0.1, 0.5, random.random()])) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_idx long, k string, score double")
+    for buckets in (1, 2, 7, 200):
+        for r in ranked(df, "score", by=["k"], buckets=buckets).collect():
+            mine = [x for x in rows if x[1] == r.k]
+            assert r["rank"] == 1 + sum((s, -i) > (r.score, -r.row_idx) for i, _, s in mine) and r.n == len(mine)
