@@ -144,7 +144,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
 
 # -- similarity of 0.8 and more ------------------------------------------------------------------
 
-SIMILAR, SIMILAR_WORDS, WIDE, BANDS, BAND_BITS, NEAREST, BLOCK, LIKELY = 0.8, 5, 14, 64, 16, 6, 4096, 0.45
+SIMILAR, SIMILAR_WORDS, WIDE, BANDS, BAND_BITS, NEAREST, BLOCK, LIKELY = 0.8, 5, 14, 64, 16, 3, 4096, 0.45
 _MASKS = [sum(1 << int(b) for b in np.random.default_rng(1000 + i).permutation(64)[:BAND_BITS]) for i in range(BANDS)]
 
 
@@ -160,14 +160,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def wide_pairs(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
-    """(u, v): candidates for a similarity that a few bits cannot show, of `nodes` (fp, node, length).
+    """(u, v): candidates for a similarity that a few bits cannot show, of `nodes` (fp, node, length, c).
 
     Fingerprints that agree on one of `BANDS` seeded choices of `BAND_BITS` bits meet in a shard, whose
-    BK-tree gives each its `NEAREST` neighbours within `radius` of like length. A shard of more than
-    `BLOCK` is searched in runs of that many in order of value, so the work grows with its size only.
+    BK-tree gives each its `NEAREST` neighbours of other classes `c` within `radius` and of like length,
+    one of a class, so a large class yields few pairs and none within it. A shard of more than `BLOCK`
+    is searched in runs of that many in order of value, so the work grows with its size only.
     """
 
-    def near(shard: np.ndarray, fp: np.ndarray, node: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    def near(shard: np.ndarray, fp: np.ndarray, node: np.ndarray, length: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         first = np.r_[True, shard[1:] != shard[:-1]]
         begin = np.maximum.accumulate(np.where(first, np.arange(len(shard)), 0))
         run = np.cumsum(first) * (1 << 32) + (np.arange(len(shard)) - begin) // BLOCK
@@ -178,8 +179,14 @@ def wide_pairs(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
             end = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + (1 << 20), "right")))
             q, n = forest.within(np.arange(start, end), radius)
             like = np.minimum(length[q], length[n]) >= SIMILAR * 0.95 * np.maximum(length[q], length[n])
+            like &= c[q] != c[n]
             q, n = q[like], n[like]
-            order = np.lexsort((n, np.bitwise_count(forest.value[q] ^ forest.value[n]), q))
+            far = np.bitwise_count(forest.value[q] ^ forest.value[n])
+            order = np.lexsort((n, far, c[n], q))  # the nearest of each class stands first
+            q, n, far = q[order], n[order], far[order]
+            lead = np.r_[True, (q[1:] != q[:-1]) | (c[n[1:]] != c[n[:-1]])] if len(q) else np.zeros(0, bool)
+            q, n, far = q[lead], n[lead], far[lead]
+            order = np.lexsort((n, far, q))
             q, n = q[order], n[order]
             at = np.arange(len(q)) - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0)) if len(q) else q
             found.append(np.stack([node[q[at < NEAREST]], node[n[at < NEAREST]]]))
@@ -189,8 +196,8 @@ def wide_pairs(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(_MASKS)])
-    dealt = nodes.select(F.explode(keys).alias("shard"), "fp", "node", "length").repartition("shard").sortWithinPartitions("shard", "fp")
-    return dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 4, near), "u long, v long").distinct()
+    dealt = nodes.select(F.explode(keys).alias("shard"), "fp", "node", "length", "c").repartition("shard").sortWithinPartitions("shard", "fp")
+    return dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 5, near), "u long, v long").distinct()
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, least: float = LIKELY) -> DataFrame:
@@ -244,8 +251,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     nodes = found.groupBy("fp").agg(F.min_by(F.struct("doc_id", "length", "sketch"), "doc_id").alias("n"), F.min("component_id").alias("c"))
     nodes = materialise(nodes.select("fp", F.col("n.doc_id").alias("node"), "n.length", "n.sketch", "c").where("length > 0"), "simhash-nodes")
     of = nodes.groupBy("node").agg(F.min("c").alias("c"))
-    pairs = wide_pairs(nodes).join(of.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
-    pairs = likely(pairs.where("cu != cv").select("u", "v"), nodes.groupBy("node").agg(F.min("sketch").alias("sketch")))
+    pairs = likely(wide_pairs(nodes), nodes.groupBy("node").agg(F.min("sketch").alias("sketch")))
     links = similar_links(docs, materialise(pairs, "simhash-pairs"))
     links = links.join(of.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
     merged = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "simhash-similar")
