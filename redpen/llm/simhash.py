@@ -164,7 +164,8 @@ def wide_pairs(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
 
     Fingerprints that agree on one of `BANDS` seeded choices of `BAND_BITS` bits meet in a shard, whose
     BK-tree gives each its `NEAREST` neighbours of other classes `c` within `radius` and of like length,
-    one of a class, so a large class yields few pairs and none within it. A shard of more than `BLOCK`
+    one of a class, and of all shards the nearest pair of each two classes is kept, so a large class
+    yields few pairs and none within it. A shard of more than `BLOCK`
     is searched in runs of that many in order of value, so the work grows with its size only.
     """
 
@@ -189,15 +190,19 @@ def wide_pairs(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
             order = np.lexsort((n, far, q))
             q, n = q[order], n[order]
             at = np.arange(len(q)) - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0)) if len(q) else q
-            found.append(np.stack([node[q[at < NEAREST]], node[n[at < NEAREST]]]))
+            q, n = q[at < NEAREST], n[at < NEAREST]
+            q, n = np.where(c[q] < c[n], q, n), np.where(c[q] < c[n], n, q)
+            far = np.bitwise_count(forest.value[q] ^ forest.value[n]).astype(np.int64)
+            found.append(np.stack([c[q], c[n], far, node[q], node[n]]))
             start = end
-        pair = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)
-        pair = np.unique(np.sort(pair, axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+        pair = np.unique(np.concatenate([*found, np.zeros((5, 0), np.int64)], axis=1), axis=1)
+        one = np.r_[True, (pair[:2, 1:] != pair[:2, :-1]).any(0)] if pair.shape[1] else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pair[:, one]], ["a", "b", "far", "u", "v"])
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(_MASKS)])
     dealt = nodes.select(F.explode(keys).alias("shard"), "fp", "node", "length", "c").repartition("shard").sortWithinPartitions("shard", "fp")
-    return dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 5, near), "u long, v long").distinct()
+    pairs = dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 5, near), "a long, b long, far long, u long, v long")
+    return pairs.groupBy("a", "b").agg(F.min(F.struct("far", "u", "v")).alias("p")).select("p.u", "p.v")
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, least: float = LIKELY) -> DataFrame:
