@@ -16,6 +16,7 @@ where it has none with an id). Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,42 +29,40 @@ from .bktree import Forest
 from .common import documents, materialise, spread
 from .components import components
 
-RADIUS, SHINGLE, HOT, SKETCH = 4, 4, 20_000, 32
+RADIUS, SHINGLE, HOT = 4, 4, 20_000
 
 
-def signature(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
-    """(fingerprint, words, sketch) of a text. A bit of the 64-bit SimHash is set if more than half of
-    the shingle hashes have it; the sketch holds the `SKETCH` smallest distinct hashes, in 32 bits."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0, 0, b""
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The hash of each shingle of `words`, in order; fewer words than a shingle has are one."""
     data = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - shingle + 1)
     last = ends[len(words) - n :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(data[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    least = np.unique(hashes)[:SKETCH]
-    sketch = (least >> np.uint64(32)).astype("<u4").tobytes()
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]), len(words), sketch
+    return np.array([digest(data[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    return signature(text, shingle)[0]
+    """A bit of the 64-bit SimHash is set if more than half of the shingle hashes have it."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    hashes = _hashes(words, shingle)
+    n = len(hashes)
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, length, sketch): `signature` of each text, the fingerprint as a signed long."""
+    """(doc_id, fp): the fingerprint of each text, as a signed long."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [signature(t.as_py(), shingle) for t in b.column(1)]
-            fp = np.array([f for f, _, _ in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([n for _, n, _ in found], pa.int64()), pa.array([k for _, _, k in found], pa.binary())], ["doc_id", "fp", "length", "sketch"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, fp long, length long, sketch binary")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, fp long")
 
 
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -129,7 +128,7 @@ def shard_links(dealt: DataFrame, radius: int, batch: int = 200_000) -> DataFram
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, length, sketch, component_id) for each row of `docs` (doc_id, text): the smallest doc_id reachable
+    """(doc_id, fp, component_id) for each row of `docs` (doc_id, text): the smallest doc_id reachable
     by links of at most `radius` differing bits."""
     prints = materialise(fingerprints(docs, shingle), "simhash")
     nodes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
@@ -144,14 +143,13 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
 
 # -- similarity of 0.8 and more ------------------------------------------------------------------
 
-SIMILAR, SIMILAR_WORDS, WIDE, BANDS, BAND_BITS, NEAREST, BLOCK, LIKELY = 0.8, 5, 14, 64, 16, 3, 4096, 0.45
-_MASKS = [sum(1 << int(b) for b in np.random.default_rng(1000 + i).permutation(64)[:BAND_BITS]) for i in range(BANDS)]
+SIMILAR, SIMILAR_WORDS, SIDE = 0.8, 5, 1024
 
 
 def shingles(text: str | None, n: int = SIMILAR_WORDS) -> np.ndarray:
     """The distinct hashes of a text's n-word shingles, sorted."""
     words = (text or "").encode().lower().split()
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), 42) for i in range(max(1, len(words) - n + 1))], np.uint64))
+    return np.unique(_hashes(words, n) if words else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -159,107 +157,157 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def wide_pairs(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
-    """(u, v): candidates for a similarity that a few bits cannot show, of `nodes` (fp, node, length, c).
+def shared_least(n: int) -> int:
+    """So many of its n shingles at least a set shares with any set similar to it, which has as many itself."""
+    return max(1, math.ceil(SIMILAR * n - 1e-9))
+
 
-    Fingerprints that agree on one of `BANDS` seeded choices of `BAND_BITS` bits meet in a shard, whose
-    BK-tree gives each its `NEAREST` neighbours of other classes `c` within `radius` and of like length,
-    one of a class, and of all shards the nearest pair of each two classes is kept, so a large class
-    yields few pairs and none within it. A shard of more than `BLOCK`
-    is searched in runs of that many in order of value, so the work grows with its size only.
+def _spare(n: int) -> int:
+    return max(1, n // 16)
+
+
+def _key(of: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(of.tobytes(), 7) - (1 << 63)
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, need, prefix) of each text with a word: a key of its shingle set, the smallest of
+    its hashes in 40 bits (chance likeness only lets more through), and how many of those it must share
+    with another set to be similar to any.
+
+    Sets that share m hashes or more share k of the n - m + k smallest ones of each, whatever k.
     """
 
-    def near(shard: np.ndarray, fp: np.ndarray, node: np.ndarray, length: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        first = np.r_[True, shard[1:] != shard[:-1]]
-        begin = np.maximum.accumulate(np.where(first, np.arange(len(shard)), 0))
-        run = np.cumsum(first) * (1 << 32) + (np.arange(len(shard)) - begin) // BLOCK
-        forest = Forest(run, fp.view(np.uint64))
-        found = []
-        start, cost = 0, np.cumsum(forest.tree_size)
-        while start < len(fp):
-            end = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + (1 << 20), "right")))
-            q, n = forest.within(np.arange(start, end), radius)
-            like = np.minimum(length[q], length[n]) >= SIMILAR * 0.95 * np.maximum(length[q], length[n])
-            like &= c[q] != c[n]
-            q, n = q[like], n[like]
-            far = np.bitwise_count(forest.value[q] ^ forest.value[n])
-            order = np.lexsort((n, far, c[n], q))  # the nearest of each class stands first
-            q, n, far = q[order], n[order], far[order]
-            lead = np.r_[True, (q[1:] != q[:-1]) | (c[n[1:]] != c[n[:-1]])] if len(q) else np.zeros(0, bool)
-            q, n, far = q[lead], n[lead], far[lead]
-            order = np.lexsort((n, far, q))
-            q, n = q[order], n[order]
-            at = np.arange(len(q)) - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0)) if len(q) else q
-            q, n = q[at < NEAREST], n[at < NEAREST]
-            q, n = np.where(c[q] < c[n], q, n), np.where(c[q] < c[n], n, q)
-            far = np.bitwise_count(forest.value[q] ^ forest.value[n]).astype(np.int64)
-            found.append(np.stack([c[q], c[n], far, node[q], node[n]]))
-            start = end
-        pair = np.unique(np.concatenate([*found, np.zeros((5, 0), np.int64)], axis=1), axis=1)
-        one = np.r_[True, (pair[:2, 1:] != pair[:2, :-1]).any(0)] if pair.shape[1] else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pair[:, one]], ["a", "b", "far", "u", "v"])
-
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(_MASKS)])
-    dealt = nodes.select(F.explode(keys).alias("shard"), "fp", "node", "length", "c").repartition("shard").sortWithinPartitions("shard", "fp")
-    pairs = dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 5, near), "a long, b long, far long, u long, v long")
-    return pairs.groupBy("a", "b").agg(F.min(F.struct("far", "u", "v")).alias("p")).select("p.u", "p.v")
-
-
-def likely(pairs: DataFrame, sketches: DataFrame, least: float = LIKELY) -> DataFrame:
-    """The pairs (u, v) whose sketches (node, sketch) agree so far that they may be similar: chance
-    neighbours go before any text is moved. The estimate of a pair at the limit of similarity is five
-    deviations above `least`."""
-
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if i is not None and (text := t.as_py()) and text.encode().split():
+                    of = shingles(text)
+                    m = shared_least(len(of))
+                    rows.append((i, _key(of), _spare(m), (of[: len(of) - m + _spare(len(of))] >> np.uint64(24)).view(np.int64)))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "need", "prefix"])
+
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, key long, need long, prefix array<long>")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, n, hashes) of the shingle sets of `nodes` (key, node), once each, from the texts of docs."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = np.union1d(p, q)[:SKETCH]
-                keep.append(len(np.intersect1d(np.intersect1d(p, q), both)) >= least * len(both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            keys, sets = [], []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                of = shingles(t.as_py())
+                if _key(of) == key:  # a doc_id may have other texts
+                    keys.append(key), sets.append(of.tobytes())
+            columns = [pa.array(keys, pa.int64()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "hashes"])
 
-    with_a = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
-    both = with_a.join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(estimate, "u long, v long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node").select("key", "text")
+    return spread(texts.distinct()).mapInArrow(per_batch, "key long, n long, hashes binary")
 
 
-def similar_links(docs: DataFrame, pairs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose texts share at least `least` of their shingles, exactly."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+def _hashes_of(sets: DataFrame) -> DataFrame:
+    """(key, token) for each hash of each set."""
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[str | None, np.ndarray] = {}
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if len(seen) > 64:
-                    seen.clear()
-                for t in (x, y):
-                    if t not in seen:
-                        seen[t] = shingles(t)
-                keep.append(jaccard(seen[x], seen[y]) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-    both = with_a.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(exact, "u long, v long")
+            n = b.column(1).to_numpy()
+            token = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(token)], ["key", "token"])
+
+    return sets.mapInArrow(per_batch, "key long, token long")
+
+
+def within_block(key: np.ndarray, part: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Similar pairs of sets that span all links of them: within one part, or between two.
+
+    Each set is counted against all others at once, through the places where its hashes stand.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    all_, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(place, kind="stable")
+    begin = np.searchsorted(place[order], np.arange(len(all_) + 1))
+    holder, starts = owner[order], np.r_[0, np.cumsum(size)]
+    two = part.min() != part.max()
+    label = np.arange(len(sets))
+    found = []
+    for i in range(len(sets)):
+        if two and part[i] == part.max():
+            continue
+        at = place[starts[i] : starts[i + 1]]
+        many = begin[at + 1] - begin[at]
+        where = np.repeat(begin[at] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        both = np.bincount(holder[where], minlength=len(sets))
+        hit = both / (size[i] + size - both) >= SIMILAR
+        hit &= (part != part[i]) if two else (np.arange(len(sets)) < i)
+        hit &= label != label[i]
+        near = np.flatnonzero(hit)
+        for one in near[np.unique(label[near], return_index=True)[1]].tolist():
+            found.append((int(key[i]), int(key[one])))
+            label[label == label[one]] = label[i]
+    return found
+
+
+def similar_links(docs: DataFrame, least_of: DataFrame, prints: DataFrame, side: int = SIDE) -> DataFrame:
+    """(u, v): keys of sets that share `SIMILAR` of their shingles, enough to span all such links.
+
+    `prints` are the `prefixes` of docs and `least_of` (key, c) names a component of each set. A set whose
+    prefix meets too few others is similar to none. Of the rest, any two similar sets share one of their
+    rarest hashes, so they stand in one clump of sets joined by those. All pairs of a clump are compared;
+    it is cut into parts of about `side` sets, and each two parts meet in a task, so none holds it all.
+    """
+    nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("need").alias("need")), "simhash-nodes")
+    # Sets of one node are of one document, which links them; so nodes, whose ids are short, stand for sets.
+    first = prints.alias("p").join(nodes.alias("n"), (F.col("p.doc_id") == F.col("n.node")) & (F.col("p.key") == F.col("n.key")))
+    first = first.select("node", F.explode("prefix").alias("token"))
+    met = first.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("token")
+    meets = first.join(met, "token", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+    open_ = nodes.join(meets, "node").where("n >= need")
+    sets = materialise(_sets(docs, open_.select("key", "node")), "simhash-sets")
+
+    tokens = _hashes_of(sets)
+    sizes = sets.select("key", "n")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    rare = tokens.join(often, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("with")).join(sizes, "key")
+    # Hashes of a set's own are the rarest; they stand first in its prefix and meet none.
+    room = F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * SIMILAR - 1e-9)) + 1 - (F.col("n") - F.size("with"))
+    rare = rare.withColumn("room", room.cast("int")).where("room > 0")
+    rare = materialise(rare.select("key", F.explode(F.slice("with", 1, F.col("room"))).alias("t")).select("key", "t.token"), "simhash-rare")
+    stars = rare.join(rare.groupBy("token").agg(F.min("key").alias("v")), "token").select(F.col("key").alias("u"), "v").where("u != v").distinct()
+    clumps = materialise(components(stars, "simhash-clumps").withColumnRenamed("node", "key").withColumnRenamed("component", "clump"), "simhash-clumps")
+    # Sets of one class are linked already.
+    mixed = clumps.join(least_of, "key").groupBy("clump").agg(F.count("*").alias("many"), F.min("c").alias("a"), F.max("c").alias("b")).where("a != b")
+    placed = sets.join(clumps.join(mixed.select("clump", F.ceil(F.col("many") / side).cast("long").alias("parts")), "clump"), "key")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("key"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = placed.select(F.xxhash64("clump", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "key", "part", "clump", "hashes")
+
+    def exact(block: np.ndarray, key: np.ndarray, part: np.ndarray, clump: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        cut = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
+        found = [p for a, b in zip(cut[:-1], cut[1:], strict=True) for p in within_block(key[a:b], part[a:b], [np.frombuffer(h, np.uint64) for h in hashes[a:b]])]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    dealt = placed.repartition("block").sortWithinPartitions("block", "clump")
+    return dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 5, exact, 2 * side), "u long, v long")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """`docs` without the near copies of a document of smaller doc_id: those of its class, by links of
-    `radius` bits, and by links of documents that share `SIMILAR` of their shingles of five words. Of
-    the latter links the wide search finds all but a few hundredths, and each is checked on the texts.
-    Rows with a null doc_id stay."""
+    `radius` bits, and by links of documents that share `SIMILAR` of their shingles of five words, all of
+    which are found. Rows with a null doc_id stay."""
     found = materialise(classes(docs, radius, shingle), "simhash-classes").where("doc_id is not null")
-    nodes = found.groupBy("fp").agg(F.min_by(F.struct("doc_id", "length", "sketch"), "doc_id").alias("n"), F.min("component_id").alias("c"))
-    nodes = materialise(nodes.select("fp", F.col("n.doc_id").alias("node"), "n.length", "n.sketch", "c").where("length > 0"), "simhash-nodes")
-    of = nodes.groupBy("node").agg(F.min("c").alias("c"))
-    pairs = likely(wide_pairs(nodes), nodes.groupBy("node").agg(F.min("sketch").alias("sketch")))
-    links = similar_links(docs, materialise(pairs, "simhash-pairs"))
-    links = links.join(of.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
-    merged = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "simhash-similar")
+    prints = materialise(prefixes(docs), "simhash-prefixes")
+    of = found.select("doc_id", F.col("component_id").alias("c")).distinct()
+    every = materialise(prints.select("doc_id", "key").join(of, "doc_id").select("key", "c").distinct(), "simhash-keys")
+    least_of = every.groupBy("key").agg(F.min("c").alias("c"))
+    links = materialise(similar_links(docs, least_of, prints), "simhash-pairs")
+    links = links.join(least_of.select(F.col("key").alias("u"), F.col("c").alias("cu")), "u").join(least_of.select(F.col("key").alias("v"), F.col("c").alias("cv")), "v")
+    # Texts of one set may have fingerprints of several classes.
+    same = every.groupBy("key").agg(F.min("c").alias("cu"), F.max("c").alias("b")).where("cu != b").select("key", "cu").join(every.withColumnRenamed("c", "cv"), "key")
+    merged = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")).union(same.select("cu", "cv")), "simhash-similar")
     final = found.join(merged, found.component_id == merged.node, "left").select("doc_id", F.coalesce("component", "component_id").alias("least"))
     gone = final.where("doc_id != least").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

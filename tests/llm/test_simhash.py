@@ -121,3 +121,35 @@ def test_similar_documents_merge_and_others_stay(spark):
     assert all(simhash.jaccard(sets[10 * i], sets[10 * i + 3]) >= 0.8 > 0.3 > simhash.jaccard(sets[10 * i], sets[10 * i + 9]) for i in range(60))
     kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).select("doc_id").collect()}
     assert want <= kept and len(kept - want) <= 3
+
+
+def copies_of_one(seed, copies, edits=6, words=300):
+    """Texts of a base and of copies with `edits` new words each: similar to the base, seldom to each other."""
+    random.seed(seed)
+    base = ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(words)]
+    texts = [" ".join(base)]
+    for _ in range(copies):
+        copy = list(base)
+        for at in random.sample(range(words), edits):
+            copy[at] = "edited" + str(random.random())
+        texts.append(" ".join(copy))
+    return texts
+
+
+def components_by_brute_force(rows):
+    """The smallest id that each reaches by few bits or by similar shingles."""
+    of = classes_of({i: plain_fingerprint(t) for i, t in rows}, simhash.RADIUS)
+    sets = {i: simhash.shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if of[i] != of[j] and simhash.jaccard(sets[i], sets[j]) >= simhash.SIMILAR:
+                a, b = of[i], of[j]
+                of = {k: min(a, b) if c in (a, b) else c for k, c in of.items()}
+    return of
+
+
+def test_all_links_of_a_group_of_hundreds_of_copies(spark):
+    rows = list(enumerate(copies_of_one(7, 300)))
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).select("doc_id").collect()}
+    assert kept == set(components_by_brute_force(rows).values())
