@@ -153,3 +153,15 @@ def test_all_links_of_a_group_of_hundreds_of_copies(spark):
     rows = list(enumerate(copies_of_one(7, 300)))
     kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).select("doc_id").collect()}
     assert kept == set(components_by_brute_force(rows).values())
+
+
+def test_siblings_do_not_crowd_out_the_original(spark):
+    """Several groups, each copy similar to its original, which has the largest id of its group."""
+    rows, want = [], set()
+    for g in range(3):
+        texts = copies_of_one(20 + g, 150)
+        sets = [simhash.shingles(t) for t in texts]
+        assert all(simhash.jaccard(sets[0], s) >= simhash.SIMILAR for s in sets)
+        rows += [(1000 * g + 999 - i, t) for i, t in enumerate(texts)]
+        want.add(1000 * g + 999 - 150)
+    assert {r.doc_id for r in simhash.keep_one(documents(spark, rows)).select("doc_id").collect()} == want
