@@ -165,3 +165,11 @@ def test_siblings_do_not_crowd_out_the_original(spark):
         rows += [(1000 * g + 999 - i, t) for i, t in enumerate(texts)]
         want.add(1000 * g + 999 - 150)
     assert {r.doc_id for r in simhash.keep_one(documents(spark, rows)).select("doc_id").collect()} == want
+
+
+def test_a_group_of_thousands_is_cut_without_loss(spark):
+    texts = copies_of_one(8, 5000, edits=2, words=100)
+    base = simhash.shingles(texts[0])
+    assert all(simhash.jaccard(base, simhash.shingles(t)) >= simhash.SIMILAR for t in texts)
+    kept = [r.doc_id for r in simhash.keep_one(documents(spark, list(enumerate(texts)))).select("doc_id").collect()]
+    assert kept == [0]
