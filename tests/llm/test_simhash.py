@@ -173,3 +173,14 @@ def test_a_group_of_thousands_is_cut_without_loss(spark):
     assert all(simhash.jaccard(base, simhash.shingles(t)) >= simhash.SIMILAR for t in texts)
     kept = [r.doc_id for r in simhash.keep_one(documents(spark, list(enumerate(texts)))).select("doc_id").collect()]
     assert kept == [0]
+
+
+def test_repeated_passages_count_once(spark):
+    random.seed(9)
+    rows = []
+    for i in range(20):
+        own, passage = ([str(random.random()) for _ in range(n)] for n in (100, 20))
+        rows += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join(own + passage * 10))]
+        assert simhash.jaccard(*(simhash.shingles(t) for _, t in rows[-2:])) >= simhash.SIMILAR
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).select("doc_id").collect()}
+    assert kept == {2 * i for i in range(20)}
