@@ -5,7 +5,7 @@ distinct fingerprint therefore goes to r+1 shards, one per block and block value
 BK-tree of its fingerprints, and each fingerprint is searched in the trees of its own shards only. A
 shard gives one link per fingerprint (to the first one it reaches there), and connected components
 join the links of all shards. A shard of more than `HOT` fingerprints is dealt anew by the blocks of
-its other bits, by the same argument, so none is cut short.
+its other bits, by the same argument, level after level, so none is cut short.
 
 Trees live only in the task that searches them, so nothing that grows with the corpus is broadcast.
 
@@ -16,7 +16,6 @@ where it has none with an id). Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,15 +31,17 @@ from .components import components
 RADIUS, SHINGLE, HOT = 4, 4, 20_000
 
 
-def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """The hash of each shingle of `words`, in order; fewer words than a shingle has are one."""
+def _hashes(words: list[bytes], shingle: int, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The hash of each shingle of `words`, in order and in blocks; fewer words than a shingle has are one."""
     data = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - shingle + 1)
     last = ends[len(words) - n :]
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(data[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64)
+    for at in range(0, n, block):
+        spans = zip(starts[at : min(n, at + block)].tolist(), last[at : at + block].tolist(), strict=True)
+        yield np.array([digest(data[x:y], 42) for x, y in spans], np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -48,9 +49,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    hashes = _hashes(words, shingle)
-    n = len(hashes)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in _hashes(words, shingle):
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -71,29 +73,42 @@ def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _block_value(fp: Column, first: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
-
-
-def shards(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
-    """(shard, fp, node) for each distinct fp and each of its r+1 shards; hot shards dealt anew."""
-    cut = _blocks(64, radius + 1)
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), _block_value(F.col("fp"), a, n).alias("x")) for i, (a, n) in enumerate(cut)])
-    dealt = nodes.withColumn("s", F.explode(keys)).select("fp", "node", "s.i", "s.x")
-    # At most (radius + 1) * 2 ** 13 shards exist, so the hot ones among them are a bounded list.
-    crowded = dealt.groupBy("i", "x").count().where(F.col("count") > hot).select("i", "x").collect()
-    if not crowded:
-        return dealt.select(F.struct("i", "x", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("y")).alias("shard"), "fp", "node")
-    is_hot = F.concat_ws(":", "i", "x").isin([f"{r.i}:{r.x}" for r in crowded])
-    finer = []
-    for i, (a, n) in enumerate(cut):
-        rest = F.shiftrightunsigned("fp", a + n) if a == 0 else F.col("fp").bitwiseAND(F.lit((1 << a) - 1)).bitwiseOR(
-            F.shiftleft(F.shiftrightunsigned(F.shiftrightunsigned("fp", a), n), a)
-        )
-        finer.append(F.when(F.col("i") == i, F.array(*[F.struct(F.lit(j).alias("j"), _block_value(rest, b, m).alias("y")) for j, (b, m) in enumerate(_blocks(64 - n, radius + 1))])))
-    second = F.when(is_hot, F.coalesce(*finer)).otherwise(F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("y"))))
-    dealt = dealt.withColumn("t", F.explode(second))
-    return dealt.select(F.struct("i", "x", "t.j", "t.y").alias("shard"), "fp", "node")
+def _dealt(rows: DataFrame, bits: int, radius: int) -> DataFrame:
+    """Each of `rows` (shard, rest, fp, node) in radius + 1 finer shards, one per block of the `bits` bits
+    that `rest` holds; the new `rest` is without the block."""
+    rest, finer = F.col("rest"), []
+    for i, (a, n) in enumerate(_blocks(bits, radius + 1)):
+        value = F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << n) - 1))
+        above = F.shiftleft(F.shiftrightunsigned(F.shiftrightunsigned(rest, a), n), a)
+        below = rest.bitwiseAND(F.lit((1 << a) - 1))
+        finer.append(F.struct(F.xxhash64("shard", F.lit(i), value).alias("shard"), above.bitwiseOR(below).alias("rest"), F.lit(n).alias("used")))
+    return rows.withColumn("s", F.explode(F.array(*finer))).select("s.shard", "s.rest", "s.used", "fp", "node")
+
+
+def shards(nodes: DataFrame, radius: int, hot: int = HOT, least_bits: int = 20) -> DataFrame:
+    """(shard, fp, node) for each distinct fp and each of its r+1 shards. A shard of over `hot` rows is dealt
+    anew by its other bits, and so on while `least_bits` of them are left."""
+    open_ = [(64, nodes.select(F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"), "fp", "node"))]
+    done, first = None, True
+    while open_:
+        bits, rows = open_.pop()
+        dealt = _dealt(rows, bits, radius)
+        many = dealt.groupBy("shard", "used").count().where(F.col("count") > hot)
+        if not first:
+            dealt, many = (d := materialise(dealt, "simhash-shards")), d.groupBy("shard", "used").count().where(F.col("count") > hot)
+        # Of the first level there are at most (radius + 1) * 2 ** 13 shards; deeper ones are counted anew.
+        widths = [r.used for r in many.select("used").distinct().collect()]
+        many, first = many.select("shard"), False
+        cool = dealt.join(many, "shard", "left_anti") if widths else dealt
+        for used in widths:
+            crowded = dealt.where(F.col("used") == used).join(many, "shard", "left_semi")
+            if bits - used >= least_bits:
+                open_.append((bits - used, crowded.drop("used")))
+            else:  # its values lie as near as the bits left over
+                cool = cool.union(crowded)
+        cool = cool.select("shard", "fp", "node")
+        done = cool if done is None else done.union(cool)
+    return done
 
 
 def _by_whole_shards(batches: Iterator[pa.RecordBatch], columns: int, answer: Callable[..., pa.RecordBatch], batch: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -101,15 +116,17 @@ def _by_whole_shards(batches: Iterator[pa.RecordBatch], columns: int, answer: Ca
     held: list[list[np.ndarray]] = []
     rows = 0
     for b in batches:
-        if b.num_rows:
-            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
-            rows += b.num_rows
-        if rows >= batch:  # all but the last shard, which may go on, is complete
-            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-            end = int(np.searchsorted(parts[0], parts[0][-1]))
-            if end:
-                yield answer(*(p[:end] for p in parts))
-            held, rows = [[p[end:] for p in parts]], len(parts[0]) - end
+        if not b.num_rows:
+            continue
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        if rows + b.num_rows >= batch:  # all but the last shard, which may go on, is complete
+            end = int(np.searchsorted(new[0], new[0][-1]))
+            if end or (held and held[-1][0][-1] != new[0][0]):
+                done = [*held, [x[:end] for x in new]] if end else held
+                yield answer(*(np.concatenate(x) for x in zip(*done, strict=True)))
+                held, rows, new = [], 0, [x[end:] for x in new]
+        held.append(new)
+        rows += len(new[0])
     if rows:
         yield answer(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -122,9 +139,8 @@ def shard_links(dealt: DataFrame, radius: int, batch: int = 200_000) -> DataFram
         moved = np.flatnonzero(to != np.arange(len(to)))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[to[moved]])], ["u", "v"])
 
-    coded = dealt.select(F.xxhash64("shard").alias("shard"), "fp", "node")
     # Two shards whose hashes collide form one tree, which may only add true links.
-    return coded.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(lambda batches: _by_whole_shards(batches, 3, forest, batch), "u long, v long")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(lambda batches: _by_whole_shards(batches, 3, forest, batch), "u long, v long")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -143,13 +159,20 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
 
 # -- similarity of 0.8 and more ------------------------------------------------------------------
 
-SIMILAR, SIMILAR_WORDS, SIDE = 0.8, 5, 1024
+SIMILAR, SIMILAR_WORDS = 0.8, 5
+#: MinHash bands and values a band: sets of similarity 0.8 share none of the bands once in 14,000 times.
+BANDS, IN_BAND = 24, 5
+#: Sets, and hashes of sets, that a comparing task holds of either side.
+SIDE, HASHES = 1024, 1 << 22
+_draw = np.random.RandomState(5)
+_TIMES = _draw.randint(0, 1 << 63, BANDS * IN_BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _draw.randint(0, 1 << 63, BANDS * IN_BAND, np.uint64)
 
 
 def shingles(text: str | None, n: int = SIMILAR_WORDS) -> np.ndarray:
     """The distinct hashes of a text's n-word shingles, sorted."""
     words = (text or "").encode().lower().split()
-    return np.unique(_hashes(words, n) if words else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64))
+    return np.unique(np.concatenate(list(_hashes(words, n)))) if words else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -157,26 +180,17 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def shared_least(n: int) -> int:
-    """So many of its n shingles at least a set shares with any set similar to it, which has as many itself."""
-    return max(1, math.ceil(SIMILAR * n - 1e-9))
-
-
-def _spare(n: int) -> int:
-    return max(1, n // 16)
-
+def bands(of: np.ndarray, block: int = 256) -> list[int]:
+    """The MinHash bands of a set of hashes: a signed hash of each `IN_BAND` minima."""
+    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(of), block):
+        np.minimum(least, (of[at : at + block, None] * _TIMES + _PLUS).min(0), out=least)
+    raw, size = least.tobytes(), 8 * IN_BAND
+    return [xxhash.xxh64_intdigest(raw[i * size : (i + 1) * size], i) - (1 << 63) for i in range(BANDS)]
 
-def _key(of: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(of.tobytes(), 7) - (1 << 63)
 
-
-def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, need, prefix) of each text with a word: a key of its shingle set, the smallest of
-    its hashes in 40 bits (chance likeness only lets more through), and how many of those it must share
-    with another set to be similar to any.
-
-    Sets that share m hashes or more share k of the n - m + k smallest ones of each, whatever k.
-    """
+def banded(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, bands) of each text with a word: a key of its shingle set, its size and bands."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,47 +198,30 @@ def prefixes(docs: DataFrame) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if i is not None and (text := t.as_py()) and text.encode().split():
                     of = shingles(text)
-                    m = shared_least(len(of))
-                    rows.append((i, _key(of), _spare(m), (of[: len(of) - m + _spare(len(of))] >> np.uint64(24)).view(np.int64)))
+                    rows.append((i, xxhash.xxh64_intdigest(of.tobytes(), 7) - (1 << 63), len(of), bands(of)))
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "need", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "bands"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, key long, need long, prefix array<long>")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(per_batch, "doc_id long, key long, n long, bands array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, n, hashes) of the shingle sets of `nodes` (key, node), once each, from the texts of docs."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, hashes) of the shingle set of each text of `texts` (node, text)."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sets = [], []
-            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                of = shingles(t.as_py())
-                if _key(of) == key:  # a doc_id may have other texts
-                    keys.append(key), sets.append(of.tobytes())
-            columns = [pa.array(keys, pa.int64()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "hashes"])
+            sets = [shingles(t.as_py()).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node").select("key", "text")
-    return spread(texts.distinct()).mapInArrow(per_batch, "key long, n long, hashes binary")
+    return texts.mapInArrow(per_batch, "node long, hashes binary")
 
 
-def _hashes_of(sets: DataFrame) -> DataFrame:
-    """(key, token) for each hash of each set."""
+def within_block(node: np.ndarray, label: np.ndarray, role: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Similar pairs of sets that span all links between different labels: of any two sets if all have one
+    role, else of two sets of different roles.
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.column(1).to_numpy()
-            token = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(token)], ["key", "token"])
-
-    return sets.mapInArrow(per_batch, "key long, token long")
-
-
-def within_block(key: np.ndarray, part: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Similar pairs of sets that span all links of them: within one part, or between two.
-
-    Each set is counted against all others at once, through the places where its hashes stand.
+    Each set is counted against all others at once, through the places where its hashes stand; it ends
+    when one label is left, which is soon where the first sets are similar to many.
     """
     size = np.array([len(x) for x in sets], np.int64)
     all_, place = np.unique(np.concatenate(sets), return_inverse=True)
@@ -232,82 +229,108 @@ def within_block(key: np.ndarray, part: np.ndarray, sets: list[np.ndarray]) -> l
     order = np.argsort(place, kind="stable")
     begin = np.searchsorted(place[order], np.arange(len(all_) + 1))
     holder, starts = owner[order], np.r_[0, np.cumsum(size)]
-    two = part.min() != part.max()
-    label = np.arange(len(sets))
+    two = role.min() != role.max()
+    label = np.unique(label, return_inverse=True)[1]
+    later = np.arange(len(sets))
     found = []
     for i in range(len(sets)):
-        if two and part[i] == part.max():
+        if (label[i:] == label[i]).all() and (not two or (label == label[i]).all()):
+            break
+        if two and role[i] == 0:
+            continue
+        open_ = label != label[i]
+        open_ &= (role != role[i]) if two else (later > i)
+        if not open_.any():
             continue
         at = place[starts[i] : starts[i + 1]]
         many = begin[at + 1] - begin[at]
         where = np.repeat(begin[at] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
         both = np.bincount(holder[where], minlength=len(sets))
-        hit = both / (size[i] + size - both) >= SIMILAR
-        hit &= (part != part[i]) if two else (np.arange(len(sets)) < i)
-        hit &= label != label[i]
-        near = np.flatnonzero(hit)
+        near = np.flatnonzero(open_ & (both >= SIMILAR * (size[i] + size - both)))
         for one in near[np.unique(label[near], return_index=True)[1]].tolist():
-            found.append((int(key[i]), int(key[one])))
+            found.append((int(node[i]), int(node[one])))
             label[label == label[one]] = label[i]
     return found
 
 
-def similar_links(docs: DataFrame, least_of: DataFrame, prints: DataFrame, side: int = SIDE) -> DataFrame:
-    """(u, v): keys of sets that share `SIMILAR` of their shingles, enough to span all such links.
+def _compared(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): what `within_block` finds in each block of `placed` (block, node, c, role, degree)."""
 
-    `prints` are the `prefixes` of docs and `least_of` (key, c) names a component of each set. A set whose
-    prefix meets too few others is similar to none. Of the rest, any two similar sets share one of their
-    rarest hashes, so they stand in one clump of sets joined by those. All pairs of a clump are compared;
-    it is cut into parts of about `side` sets, and each two parts meet in a task, so none holds it all.
-    """
-    nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("need").alias("need")), "simhash-nodes")
-    # Sets of one node are of one document, which links them; so nodes, whose ids are short, stand for sets.
-    first = prints.alias("p").join(nodes.alias("n"), (F.col("p.doc_id") == F.col("n.node")) & (F.col("p.key") == F.col("n.key")))
-    first = first.select("node", F.explode("prefix").alias("token"))
-    met = first.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("token")
-    meets = first.join(met, "token", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
-    open_ = nodes.join(meets, "node").where("n >= need")
-    sets = materialise(_sets(docs, open_.select("key", "node")), "simhash-sets")
-
-    tokens = _hashes_of(sets)
-    sizes = sets.select("key", "n")
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    rare = tokens.join(often, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("with")).join(sizes, "key")
-    # Hashes of a set's own are the rarest; they stand first in its prefix and meet none.
-    room = F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * SIMILAR - 1e-9)) + 1 - (F.col("n") - F.size("with"))
-    rare = rare.withColumn("room", room.cast("int")).where("room > 0")
-    rare = materialise(rare.select("key", F.explode(F.slice("with", 1, F.col("room"))).alias("t")).select("key", "t.token"), "simhash-rare")
-    stars = rare.join(rare.groupBy("token").agg(F.min("key").alias("v")), "token").select(F.col("key").alias("u"), "v").where("u != v").distinct()
-    clumps = materialise(components(stars, "simhash-clumps").withColumnRenamed("node", "key").withColumnRenamed("component", "clump"), "simhash-clumps")
-    # Sets of one class are linked already.
-    mixed = clumps.join(least_of, "key").groupBy("clump").agg(F.count("*").alias("many"), F.min("c").alias("a"), F.max("c").alias("b")).where("a != b")
-    placed = sets.join(clumps.join(mixed.select("clump", F.ceil(F.col("many") / side).cast("long").alias("parts")), "clump"), "key")
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("key"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    placed = placed.select(F.xxhash64("clump", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "key", "part", "clump", "hashes")
-
-    def exact(block: np.ndarray, key: np.ndarray, part: np.ndarray, clump: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    def exact(block: np.ndarray, node: np.ndarray, c: np.ndarray, role: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
         cut = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
-        found = [p for a, b in zip(cut[:-1], cut[1:], strict=True) for p in within_block(key[a:b], part[a:b], [np.frombuffer(h, np.uint64) for h in hashes[a:b]])]
+        found = [p for a, b in zip(cut[:-1], cut[1:], strict=True) for p in within_block(node[a:b], c[a:b], role[a:b], [np.frombuffer(h, np.uint64) for h in hashes[a:b]])]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    dealt = placed.repartition("block").sortWithinPartitions("block", "clump")
-    return dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 5, exact, 2 * side), "u long, v long")
+    dealt = placed.join(sets, "node").repartition("block").sortWithinPartitions("block", F.desc("degree"))
+    dealt = dealt.select("block", "node", "c", "role", "hashes")
+    return dealt.mapInArrow(lambda batches: _by_whole_shards(batches, 5, exact, SIDE), "u long, v long")
+
+
+def similar_classes(docs: DataFrame, prints: DataFrame, class_of: DataFrame, side: int = SIDE) -> DataFrame:
+    """(node, component): the classes c of `class_of` (doc_id, c) that links of sets sharing `SIMILAR` of
+    their shingles join, with the smallest class of each. `prints` is `banded(docs)`.
+
+    Sets that share a band stand in one clump. All pairs of a clump of several classes are compared, in
+    parts of about `side` sets, each with the sets that share most bands. In a clump of several parts
+    that joins most sets to one class; every set outside of it then meets all parts.
+    """
+    # The smallest document of each shingle set stands for it.
+    nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")).drop("key"), "simhash-nodes")
+    dealt = nodes.select("node", F.explode("bands").alias("band"))
+    crowd = dealt.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("many")).where("a != b")
+    met = materialise(dealt.join(crowd, "band").groupBy("node", "a").agg(F.sum("many").alias("many")), "simhash-met")
+    clumps = components(met.select(F.col("node").alias("u"), F.col("a").alias("v")), "simhash-clumps").withColumnRenamed("component", "clump")
+    degree = met.groupBy("node").agg(F.sum("many").alias("degree"))
+    size = nodes.groupBy("node").agg(F.max("n").alias("n"))
+    members = materialise(clumps.join(class_of.withColumnRenamed("doc_id", "node"), "node").join(degree, "node").join(size, "node"), "simhash-members")
+    whole = members.groupBy("clump").agg(F.count("*").alias("many"), F.sum("n").alias("n"), F.min("c").alias("a"), F.max("c").alias("b")).where("a != b")
+    parts = F.ceil(F.greatest(F.col("many") / side, F.col("n") / HASHES)).cast("long")
+    whole = materialise(whole.select("clump", parts.alias("parts")), "simhash-whole")
+    members = members.join(whole, "clump")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.select("node"), "node")
+    sets = materialise(_sets(spread(texts.distinct())), "simhash-sets")
+
+    hubs = members.where("parts > 1").groupBy("clump", F.pmod(F.xxhash64("node"), F.lit(8))).agg(F.max(F.struct("degree", "node")).alias("h")).select(F.col("h.node"), F.lit(1).alias("hub"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    part = F.pmod(F.xxhash64("node", F.lit(1)), "parts")
+    placed = members.join(hubs, "node", "left").withColumn("part", F.explode(F.when(F.col("hub") == 1, every).otherwise(F.array(part))))
+    placed = placed.select(F.xxhash64("clump", "part").alias("block"), "node", "c", F.lit(0).alias("role"), "degree")
+    links = materialise(_compared(placed, sets), "simhash-pairs")
+    of = members.select("node", "c")
+
+    def joined(links: DataFrame) -> DataFrame:
+        both = links.join(of.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
+        return both.select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+
+    # Rows of one set may have fingerprints of several classes.
+    per_key = prints.join(class_of, "doc_id").groupBy("key", "c").agg(F.lit(1)).select("key", "c")
+    same = per_key.groupBy("key").agg(F.min("c").alias("u"), F.max("c").alias("b")).where("u != b").select("key", "u").join(per_key, "key").select("u", F.col("c").alias("v"))
+    merged = components(joined(links).union(same), "simhash-similar")
+    if not whole.where("parts > 1").head(1):
+        return merged
+    now = members.where("parts > 1").join(merged.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c"))
+    now = materialise(now.select("clump", "parts", "node", "n", "c", "degree"), "simhash-now")
+    count = now.groupBy("clump", "c").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    main = count.groupBy("clump").agg(F.max(F.struct("many", "c")).alias("top"), F.sum("many").alias("many"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    outer = F.greatest((F.col("many") - F.col("top.many")) / side, F.col("n") / F.col("many") * (F.col("many") - F.col("top.many")) / HASHES)
+    main = main.select("clump", F.col("top.c").alias("main"), F.greatest(F.lit(1), F.ceil(outer)).cast("long").alias("outers"))
+    now = now.join(main, "clump").withColumn("part", part)
+    rows = lambda block, role: F.struct(*block, F.lit(role).alias("role"))
+    inner = now.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("outers") - 1), lambda o: rows([F.col("part").alias("p"), o.alias("o")], 0))))
+    outside = now.where("c != main").withColumn("at", F.explode(F.transform(every, lambda p: rows([p.alias("p"), F.pmod(F.xxhash64("node", F.lit(2)), "outers").alias("o")], 1))))
+    placed = inner.union(outside).select(F.xxhash64("clump", "at.p", "at.o").alias("block"), "node", "c", "at.role", "degree")
+    rest = materialise(_compared(placed, sets), "simhash-pairs")
+    return components(joined(links.union(rest)).union(same), "simhash-similar")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """`docs` without the near copies of a document of smaller doc_id: those of its class, by links of
-    `radius` bits, and by links of documents that share `SIMILAR` of their shingles of five words, all of
-    which are found. Rows with a null doc_id stay."""
+    `radius` bits, and by links of documents that share `SIMILAR` of their shingles of five words. Rows
+    with a null doc_id stay."""
     found = materialise(classes(docs, radius, shingle), "simhash-classes").where("doc_id is not null")
-    prints = materialise(prefixes(docs), "simhash-prefixes")
-    of = found.select("doc_id", F.col("component_id").alias("c")).distinct()
-    every = materialise(prints.select("doc_id", "key").join(of, "doc_id").select("key", "c").distinct(), "simhash-keys")
-    least_of = every.groupBy("key").agg(F.min("c").alias("c"))
-    links = materialise(similar_links(docs, least_of, prints), "simhash-pairs")
-    links = links.join(least_of.select(F.col("key").alias("u"), F.col("c").alias("cu")), "u").join(least_of.select(F.col("key").alias("v"), F.col("c").alias("cv")), "v")
-    # Texts of one set may have fingerprints of several classes.
-    same = every.groupBy("key").agg(F.min("c").alias("cu"), F.max("c").alias("b")).where("cu != b").select("key", "cu").join(every.withColumnRenamed("c", "cv"), "key")
-    merged = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")).union(same.select("cu", "cv")), "simhash-similar")
+    prints = materialise(banded(docs), "simhash-banded")
+    class_of = found.groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    merged = similar_classes(docs, prints, class_of)
     final = found.join(merged, found.component_id == merged.node, "left").select("doc_id", F.coalesce("component", "component_id").alias("least"))
     gone = final.where("doc_id != least").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
