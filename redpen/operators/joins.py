@@ -53,25 +53,35 @@ def signature(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *columns).cast("binary"), 256)
 
 
-def contained(rows: DataFrame, terms: DataFrame, key: str, text: str, term: str, words: str = "[^a-z]+") -> DataFrame:
-    """(key, hits): how many distinct terms each text contains, texts without any left out.
-
-    Containment has no join key, so one is made: each text yields its distinct substrings of the
-    lengths that terms have (read first: a handful of numbers), within its runs of letters, and these
-    are equi-joined with the terms. Nothing is crossed.
+def contained(rows: DataFrame, terms: DataFrame, key: str, text: str, term: str, domain: str | None = None, fallback: str | None = None) -> DataFrame:
+    """(key, hits): the summed length of all occurrences of terms in each text, overlapping ones included;
+    texts without any are left out.
+
+    With `domain`, a row meets the terms of its domain, and those of `fallback` if its own has none.
+    Containment has no join key, so one is made: at each place of a text stands a piece as long as the
+    shortest term, which is equi-joined with the beginnings of terms; the longer terms are then compared
+    there. Nothing is crossed, and no text travels further than its pieces of the longest term's length.
     """
-    sizes = sorted(r[0] for r in terms.select(F.length(term)).distinct().collect())
-    runs = F.filter(F.array_distinct(F.split(F.col(text), words)), lambda w: F.length(w) >= (sizes[0] if sizes else 1))
-
-    def grams(w: Column, n: int) -> Column:
-        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    def of_size(n: int) -> Column:
-        return F.flatten(F.transform(runs, lambda w: grams(w, n)))
-
-    pieces = F.array_distinct(F.flatten(F.array(*map(of_size, sizes)))) if sizes else F.array().cast("array<string>")
-    found = rows.select(key, F.explode(pieces).alias(term)).join(terms, term)
-    return found.groupBy(key).agg(F.count("*").alias("hits"))
+    keys = [domain] if domain else []
+    terms = terms.select(*keys, term).where(F.length(term) > 0).distinct()
+    sizes = terms.agg(F.min(F.length(term)), F.max(F.length(term))).first()
+    least, most = (sizes[0] or 1, sizes[1] or 1)
+    rows = rows.where(F.length(text) >= least)
+    if domain:
+        # A dictionary has a handful of domains.
+        known = [r[0] for r in terms.select(domain).distinct().collect()]
+        rows = rows.withColumn(domain, F.when(F.col(domain).isin(known), F.col(domain)).otherwise(F.lit(fallback)))
+    places = F.sequence(F.lit(1), F.length(text) - (least - 1))
+    pieces = rows.select(key, *keys, F.explode(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(most)))).alias("__piece"))
+    pieces = pieces.withColumn("__head", F.left("__piece", F.lit(least)))
+    heads = terms.select(*keys, term, F.left(term, F.lit(least)).alias("__head"))
+    found = pieces.join(heads, [*keys, "__head"]).where(F.startswith("__piece", F.col(term)))
+    return found.groupBy(key).agg(F.sum(F.length(term)).alias("hits"))
+
+
+def domain_risk(hits: Column) -> Column:
+    """Risk of a text by the summed length of its term occurrences, at most 1."""
+    return F.least(F.coalesce(hits, F.lit(0)) / F.lit(3.0), F.lit(1.0))
 
 
 def mapped(df: DataFrame, key: str, to: Mapping[str, str], name: str) -> DataFrame:

@@ -75,7 +75,19 @@ def s17_defended_answer(spark, sf_dir):
     return cache(spark, sf_dir).select("row_idx", text.defended_answer(raw, F.col("ocr_text"), [], ["Step 1"]).alias("v"))
 
 
-@register("s18_enclosing_brackets")
+_ENDS = "(trim({t}, ' ')[1] = '{a}' AND trim({t}, ' ')[-1:] = '{b}' AND length(trim({t}, ' ')) >= 2)"
+
+
+def _stripped(name, start):
+    """Recursive SQL that takes one bracket pair off a text (row_idx, t, n) at a time."""
+    cases = " OR ".join(_ENDS.format(t="t", a=a, b=b) for a, b in zip("【[(（", "】])）", strict=True))
+    return f"""{name}(row_idx, t, n) AS (SELECT row_idx, {start}, 0 FROM cache
+  UNION ALL SELECT row_idx, trim(substring(trim(t, ' '), 2, length(trim(t, ' ')) - 2), ' '), n + 1 FROM {name} WHERE {cases})"""
+
+
+@register("s18_enclosing_brackets", "WITH RECURSIVE " + over_cache("""SELECT row_idx, CASE WHEN a.t = b.t THEN ocr_text ELSE a.t END AS v
+  FROM (SELECT row_idx, max_by(trim(t, ' '), n) AS t FROM s GROUP BY row_idx) a JOIN (SELECT row_idx, max_by(trim(t, ' '), n) AS t FROM f GROUP BY row_idx) b USING (row_idx) JOIN cache USING (row_idx)""",
+  _stripped("s", "'【(' || gt || ')】'"), _stripped("f", "ocr_text")).removeprefix("WITH "))
 def s18_enclosing_brackets(spark, sf_dir):
     """Bracket pairs around a text go, to a fixpoint; a text that differs from its fallback only by
     them is the fallback."""

@@ -94,17 +94,23 @@ def j11_signature_reader(spark, sf_dir):
     return joins.unique(rows, "sig", "row_idx", "first").drop("row_idx")
 
 
-TERMS = "terms AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 6)"
+TERMS = """terms AS (SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'de' END AS domain, lower(w) AS term
+  FROM (SELECT item_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 4)"""
 
 
 @register("j13_dictionary_containment", over_cache("""SELECT row_idx, hits, round(least(hits / 3.0::DOUBLE, 1.0::DOUBLE), 6) AS r_d FROM (
-  SELECT row_idx, count(*) AS hits FROM (SELECT row_idx, lower(gt) AS t FROM lines) JOIN terms ON contains(t, term) GROUP BY row_idx)""", TERMS))
+  SELECT row_idx, sum(n)::BIGINT AS hits FROM (
+    SELECT row_idx, domain, n, substring(t, i, n) AS piece FROM
+      (SELECT row_idx, CASE WHEN domain IN ('en', 'de') THEN domain ELSE 'en' END AS domain, t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT row_idx, domain, lower(gt) AS t FROM lines))
+      CROSS JOIN (SELECT DISTINCT length(term) AS n FROM terms) WHERE i + n - 1 <= length(t)) p
+  JOIN terms ON terms.domain = p.domain AND terms.term = p.piece GROUP BY row_idx)""", TERMS))
 def j13_dictionary_containment(spark, sf_dir):
     from redpen.sources.recognition import lines
 
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("length(w) >= 6").select(F.lower("w").alias("term")).distinct()
-    found = joins.contained(lines(spark, sf_dir).select("row_idx", F.lower("gt").alias("t")), words, "row_idx", "t", "term")
-    return found.select("row_idx", "hits", r6(F.least(F.col("hits") / F.lit(3.0), F.lit(1.0))).alias("r_d"))
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("length(w) >= 4")
+    words = words.select(F.when(F.col("item_id") % 2 == 0, "en").otherwise("de").alias("domain"), F.lower("w").alias("term")).distinct()
+    found = joins.contained(lines(spark, sf_dir).select("row_idx", "domain", F.lower("gt").alias("t")), words, "row_idx", "t", "term", "domain", "en")
+    return found.select("row_idx", "hits", r6(joins.domain_risk(F.col("hits"))).alias("r_d"))
 
 
 @register("j14_enrich_by_small_map", "SELECT d.doc_id, m.label FROM documents d JOIN (VALUES ('en', 'English'), ('de', 'German'), ('fr', 'French')) m(lang, label) USING (lang)")
@@ -299,27 +305,38 @@ def t9_value_sort(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice") / F.count("*"), 2).alias("avg_price")).orderBy("avg_price")
 
 
-@register("t4_random_baseline")
+#: A seeded order of rows that both engines can draw: a linear congruence of the row id, ties by the id.
+DRAW = "(((row_idx % 2147483647) * 48271 + {seed}) % 2147483647)"
+
+
+def _draw(seed):
+    return (F.col("row_idx") % 2147483647 * 48271 + seed) % 2147483647
+
+
+@register("t4_random_baseline", over_cache(f"""SELECT row_idx, rank FROM (SELECT row_idx, row_number() OVER (ORDER BY {DRAW.format(seed=1)} DESC, row_idx) AS rank, count(*) OVER () AS n FROM cache)
+  WHERE rank <= round_even(n * 0.2::DOUBLE, 0)"""))
 def t4_random_baseline(spark, sf_dir):
-    """Our own seeded order (a hash), since the reference's generator is Python's."""
+    """Our own seeded order, since the original one is Python's generator."""
     from redpen.operators.ranking import ranked
 
-    rows = cache(spark, sf_dir).select("row_idx", (F.xxhash64(F.lit(1), "row_idx") / F.lit(2.0**63)).alias("score"))
+    rows = cache(spark, sf_dir).select("row_idx", _draw(1).cast("double").alias("score"))
     return ranked(rows, "score").where("rank <= bround(n * 0.2)").select("row_idx", "rank")
 
 
-@register("t5_exact_split")
+@register("t5_exact_split", over_cache(f"""SELECT row_idx, CASE WHEN rank <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN rank <= floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT row_idx, row_number() OVER (ORDER BY {DRAW.format(seed=42)} DESC, row_idx) AS rank, count(*) OVER () AS n FROM cache)"""))
 def t5_exact_split(spark, sf_dir):
     """60/20/20 of exact sizes by a seeded permutation; the test part is the remainder."""
     from redpen.operators.ranking import ranked
 
-    rows = ranked(cache(spark, sf_dir).select("row_idx", (F.xxhash64(F.lit(42), "row_idx") / F.lit(2.0**63)).alias("score")), "score")
-    return rows.select("row_idx", F.when(F.col("rank") <= F.floor(F.col("n") * 0.6), "train").when(F.col("rank") <= F.floor(F.col("n") * 0.6) + F.floor(F.col("n") * 0.2), "val").otherwise("test").alias("split"))
+    rows = ranked(cache(spark, sf_dir).select("row_idx", _draw(42).cast("double").alias("score")), "score")
+    sixth, fifth = F.floor(F.col("n") * F.lit(0.6)), F.floor(F.col("n") * F.lit(0.2))
+    return rows.select("row_idx", F.when(F.col("rank") <= sixth, "train").when(F.col("rank") <= sixth + fifth, "val").otherwise("test").alias("split"))
 
 
-@register("t6_sample_without_replacement")
+@register("t6_sample_without_replacement", over_cache(f"SELECT row_idx FROM cache WHERE ocr_text = gt ORDER BY {DRAW.format(seed=7)}, row_idx LIMIT 500"))
 def t6_sample_without_replacement(spark, sf_dir):
-    rows = cache(spark, sf_dir).where("ocr_text = gt").select("row_idx", F.xxhash64(F.lit(7), "row_idx").alias("draw"))
+    rows = cache(spark, sf_dir).where("ocr_text = gt").select("row_idx", _draw(7).alias("draw"))
     return rows.orderBy("draw", "row_idx").limit(500).select("row_idx")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -117,7 +119,7 @@ def c12_char_entropy(spark, sf_dir):
     return rows.select("vec_id", F.array_max("c").alias("top"), ctc.argmax(F.col("c")).alias("at"))
 
 
-@register("c13_batched_by_ratio")
+@register("c13_batched_by_ratio", over_cache("SELECT row_idx, length(gt) AS width FROM cache ORDER BY row_idx"))
 def c13_batched_by_ratio(spark, sf_dir):
     """Lines dealt into batches of like length and given back in input order."""
     rows = cache(spark, sf_dir).select("row_idx", F.length("gt").alias("width"))
@@ -160,17 +162,25 @@ S_B = CLIP % f"({CLIP % '(v / 0.5)'} * {EDGE} + {EDGE} + dr) / 3.0"
 S_A = CLIP % "1.0 - list_min(list_transform(range(1, 9), lambda i: p1[i] - p2[i]))"
 
 
-@register("m2_logistic_scores")
+def _single(bias, *terms):
+    """SQL of a logistic score whose products and sums are in single precision."""
+    z = f"{bias}::FLOAT"
+    for x, w in terms:
+        z = f"({z} + ({x}) * {w}::FLOAT)"
+    return f"1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(-500.0::DOUBLE, least(500.0::DOUBLE, ({z})::DOUBLE))))"
+
+
+@register("m2_logistic_scores", over_cache(f"""SELECT row_idx, round({_single('0.1', ('mean_conf::FLOAT', '(-1.2)'), ('min_conf::FLOAT', '(-0.8)'), ('"drop"::FLOAT', '2.0'), ('r_d::FLOAT', '0.5'), ('conf::FLOAT', '(-0.3)'))}, 6) AS q FROM cache"""))
 def m2_logistic_scores(spark, sf_dir):
     q = scores.logistic([F.col("mean_conf"), F.col("min_conf"), F.col("drop"), F.col("r_d"), F.col("conf")], [-1.2, -0.8, 2.0, 0.5, -0.3], 0.1)
-    return cache(spark, sf_dir).select("row_idx", q.alias("q"))
+    return cache(spark, sf_dir).select("row_idx", r6(q).alias("q"))
 
 
-@register("m3_unified_scores")
+@register("m3_unified_scores", over_cache(f"""SELECT row_idx, round({_single('0.2', ('mean_conf::FLOAT', '(-1.5)'), ('min_conf::FLOAT', '(-0.5)'), ('(mean_conf * "drop")::FLOAT', '1.0'), ('0.0::FLOAT', '0.3'))}, 6) AS q FROM cache"""))
 def m3_unified_scores(spark, sf_dir):
     """Features padded with 0 or cut to the number of weights, the product of two appended."""
     x = F.array("mean_conf", "min_conf", F.col("mean_conf") * F.col("drop"))
-    return cache(spark, sf_dir).select("row_idx", scores.padded_logistic(x, [-1.5, -0.5, 1.0, 0.3], 0.2).alias("q"))
+    return cache(spark, sf_dir).select("row_idx", r6(scores.padded_logistic(x, [-1.5, -0.5, 1.0, 0.3], 0.2)).alias("q"))
 
 
 @register("m5_rule_risk", over_cache(f"SELECT row_idx, round({CLIP % '0.5::DOUBLE * (1 - mean_conf) + 0.3::DOUBLE * r_d + 0.2::DOUBLE * \"drop\"'}, 6) AS q FROM cache"))
@@ -428,6 +438,29 @@ def _json_lines(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), good)).otherwise(good).alias("value"))
 
 
+def _written(spark, kind):
+    from redpen.session import shared_dir
+
+    return f"{shared_dir(spark)}/redpen-{kind}-{uuid.uuid4().hex}"
+
+
+@register("io1_io3_jsonl_round_trip", "SELECT event_id AS id, event_type AS text, value AS conf, event_id % 2 = 0 AS hard FROM events")
+def io1_io3_jsonl_round_trip(spark, sf_dir):
+    """Rows as JSON lines, read back under their schema."""
+    path = _written(spark, "jsonl")
+    files.write_jsonl(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("text"), F.col("value").alias("conf"), (F.col("event_id") % 2 == 0).alias("hard")), path)
+    return files.read_jsonl(spark, path, RECORD)
+
+
+@register("io4_io5_csv_round_trip", "SELECT cast(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus || ',\"' || o_orderpriority END AS note, '' AS extra FROM orders")
+def io4_io5_csv_round_trip(spark, sf_dir):
+    """Rows as CSV with a header and a column they lack, read back as strings."""
+    path = _written(spark, "csv")
+    note = F.when(F.col("o_orderkey") % 5 != 0, F.concat("o_orderstatus", F.lit(',"'), "o_orderpriority"))
+    files.write_csv_rows(table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note")), path, ["o_orderkey", "note", "extra"])
+    return files.read_csv_rows(spark, path)
+
+
 @register("io8_tolerant_records", "SELECT event_id AS id, event_type AS text, value AS conf, event_id % 2 = 0 AS hard FROM events WHERE event_id % 7 <> 0")
 def io8_tolerant_records(spark, sf_dir):
     return files.from_json_lines(_json_lines(spark, sf_dir), "value", RECORD)

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WIDTH, STRIDE = 40, 100_000
+#: A document has fewer lines than STRIDE, since a string has fewer than 2 ** 31 characters.
+WIDTH, STRIDE = 40, 100_000_000
 TERMS = ["the", "tion", "und", "que", "ing", "ent"]
 
 
@@ -29,7 +30,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _thousandth(factor: int, below: int = 1000) -> Column:
-    return ((F.col("row_idx") * F.lit(factor)) % below).cast("double") / F.lit(1000.0)
+    return ((F.col("row_idx") % below * F.lit(factor)) % below).cast("double") / F.lit(1000.0)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,8 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select(
         "row_idx", i.cast("string").alias("sample_id"), "doc_id", "domain", "source", "gt", ocr.alias("ocr_text"), second.alias("final_text_if_upgraded"),
         _thousandth(7919).alias("conf"), _thousandth(104729).alias("mean_conf"), _thousandth(15485863).alias("min_conf"), _thousandth(32452843, 400).alias("drop"), _thousandth(49979687).alias("r_d"),
-        F.when(i % 11 != 0, F.lit(50.0) + ((i * 6700417) % 5000).cast("double") / F.lit(10.0)).alias("latency_ms"),
-        F.when(i % 13 != 0, F.lit(10) + (i * 1299709) % 90).alias("token_usage"),
+        F.when(i % 11 != 0, F.lit(50.0) + ((i % 5000 * 6700417) % 5000).cast("double") / F.lit(10.0)).alias("latency_ms"),
+        F.when(i % 13 != 0, F.lit(10) + (i % 90 * 1299709) % 90).alias("token_usage"),
         F.when(i % 17 == 0, "timeout").when(i % 19 == 0, "parse_error").otherwise("none").alias("error_type"),
         F.filter(F.array(*map(F.lit, TERMS)), lambda t: F.contains(gt, t)).alias("professional_terms"),
     )
@@ -73,13 +74,13 @@ readings AS (
 cache AS (
   SELECT row_idx, cast(row_idx AS VARCHAR) AS sample_id, doc_id, domain, source, gt, ocr_text,
     CASE row_idx % 7 WHEN 0 THEN gt || '!' WHEN 1 THEN substring(gt, 1, 3) || '@' || substring(gt, 5) WHEN 2 THEN ocr_text ELSE gt END AS final_text_if_upgraded,
-    ((row_idx * 7919) % 1000)::DOUBLE / 1000.0::DOUBLE AS conf,
-    ((row_idx * 104729) % 1000)::DOUBLE / 1000.0::DOUBLE AS mean_conf,
-    ((row_idx * 15485863) % 1000)::DOUBLE / 1000.0::DOUBLE AS min_conf,
-    ((row_idx * 32452843) % 400)::DOUBLE / 1000.0::DOUBLE AS "drop",
-    ((row_idx * 49979687) % 1000)::DOUBLE / 1000.0::DOUBLE AS r_d,
-    CASE WHEN row_idx % 11 <> 0 THEN 50.0::DOUBLE + ((row_idx * 6700417) % 5000)::DOUBLE / 10.0::DOUBLE END AS latency_ms,
-    CASE WHEN row_idx % 13 <> 0 THEN 10 + (row_idx * 1299709) % 90 END AS token_usage,
+    ((row_idx % 1000 * 7919) % 1000)::DOUBLE / 1000.0::DOUBLE AS conf,
+    ((row_idx % 1000 * 104729) % 1000)::DOUBLE / 1000.0::DOUBLE AS mean_conf,
+    ((row_idx % 1000 * 15485863) % 1000)::DOUBLE / 1000.0::DOUBLE AS min_conf,
+    ((row_idx % 400 * 32452843) % 400)::DOUBLE / 1000.0::DOUBLE AS "drop",
+    ((row_idx % 1000 * 49979687) % 1000)::DOUBLE / 1000.0::DOUBLE AS r_d,
+    CASE WHEN row_idx % 11 <> 0 THEN 50.0::DOUBLE + ((row_idx % 5000 * 6700417) % 5000)::DOUBLE / 10.0::DOUBLE END AS latency_ms,
+    CASE WHEN row_idx % 13 <> 0 THEN 10 + (row_idx % 90 * 1299709) % 90 END AS token_usage,
     CASE WHEN row_idx % 17 = 0 THEN 'timeout' WHEN row_idx % 19 = 0 THEN 'parse_error' ELSE 'none' END AS error_type,
     list_filter({TERMS}, lambda t: contains(gt, t)) AS professional_terms
   FROM readings)

@@ -394,3 +394,24 @@ def test_ranks_over_many_ranges(spark):
         for r in ranked(df, "score", by=["k"], buckets=buckets).collect():
             mine = [x for x in rows if x[1] == r.k]
             assert r["rank"] == 1 + sum((s, -i) > (r.score, -r.row_idx) for i, _, s in mine) and r.n == len(mine)
+
+
+def test_dictionary_risk_counts_every_occurrence_by_its_length(spark):
+    """Lengths of all overlapping occurrences, by domain; a domain without terms takes the fallback's."""
+    from redpen.operators import joins
+
+    terms = spark.createDataFrame([("geo", "地质"), ("geo", "质层"), ("geo", "地质"), ("fin", "aa"), ("fin", "股票")], "domain string, term string")
+    rows = [(1, "geo", "地质层和地质"), (2, "fin", "aaaa"), (3, "med", "中国地质"), (4, "fin", "地质"), (5, "geo", ""), (6, "geo", None), (7, None, "质层")]
+    found = joins.contained(spark.createDataFrame(rows, "id long, domain string, t string"), terms, "id", "t", "term", "domain", "geo")
+    found = {r.id: (r.hits, r.risk) for r in found.withColumn("risk", joins.domain_risk(F.col("hits"))).collect()}
+    assert found == {1: (6, 1.0), 2: (6, 1.0), 3: (2, 2 / 3), 7: (2, 2 / 3)}
+    plain = joins.contained(spark.createDataFrame([(1, "abcab")], "id long, t string"), spark.createDataFrame([("ab",), ("bca",), ("b",)], "term string"), "id", "t", "term")
+    assert [tuple(r) for r in plain.collect()] == [(1, 2 * 2 + 3 + 2)]
+
+
+def test_harm_buckets_take_a_full_width_comma_as_text(spark):
+    from redpen.operators import edits
+
+    row = spark.createDataFrame([("中国，地质", "中囯，地貭", "中国，地质")], "a string, b string, gt string")
+    bucket = edits.harm_bucket(F.col("a"), F.col("b"), F.col("gt"), F.lit(0), F.lit(2), F.array().cast("array<string>"))
+    assert row.select(bucket.alias("x")).first().x == "semantic_overrewrite"
