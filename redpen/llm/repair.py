@@ -2,10 +2,9 @@
 
 Texts are encoded with the tokenizers library, an end id closes each document, and documents in
 ascending doc_id order are gathered into shards. Each shard is compressed by its own grammar: again
-and again the frequent id pairs are replaced by nonterminals. A round counts all pairs, takes the most
-frequent ones that cannot overlap (no symbol is the right part of one and the left part of another;
-a pair of equal symbols is taken alone, from the left of each run) and replaces them at once. Symbols
-are 16-bit: `TERMINALS` ids, then the rules.
+and again the frequent id pairs are replaced by nonterminals, until none is frequent enough to pay for
+a rule or all symbols are used. A round counts all pairs and replaces the most frequent ones at once.
+Symbols are 16-bit: `TERMINALS` ids, then the rules.
 
 A shard is a byte string:
 
@@ -20,13 +19,17 @@ so a document is decoded from its own symbols alone, and expansion lengths let a
 place in it. Shards are rows of a Parquet table in the shared folder (part, shard, tokens before it
 in its part, data), which any file store can hold.
 
-Null text counts as empty and has the end id only. Null doc_ids come first; ties go by text.
+Null text counts as empty and has the end id only. Null doc_ids come first; ties go by text, so rows
+that repeat are documents of their own, side by side. A text that holds an added token's literal gets
+that token's id, as the library gives it. A document longer than a shard is a shard of its own. An
+empty table gives no shard. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,92 +41,210 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import split_words
 from .common import documents, materialise
 
-TERMINALS, END, SHARD, ROUNDS, LEAST = 50_257, 0, 1 << 18, 8, 6
-REMEMBERED = 700_000
+TERMINALS, FENCE, END, SHARD = 50_257, 65_535, 0, 1 << 18
+#: A rule takes 8 bytes and saves 2 at each use; a pair of fewer than LEAST uses would save less than its rule takes.
+LEAST, SHARE = 8, 1 / 16
+#: Words after which a worker forgets all of them.
+REMEMBERED = 1_000_000
+#: Where a space may stand inside a piece; without this every space begins one.
+SPACES = re.compile(r" (?=\s)(?<=\s )")
 
 
 # -- ids -----------------------------------------------------------------------------------------
 
 
+#: Marks that follow a word: with it they are two pieces of the tokenizer's pattern.
+MARKS = b'.,!?;:#%&*$)"'
+#: Longer words are not remembered.
+WORD = 64
+
+
+class WordTable:
+    """Ids of words by two 64-bit hashes: open addressing in arrays, looked up for all words at once."""
+
+    def __init__(self, bits: int):
+        self.bits, self.words, self.used = bits, 0, 0
+        self.key, self.check = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.begin, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.ids = np.zeros(1 << bits, np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 for words not here and -2 for one whose first hash another word has."""
+        out = np.full(len(key), -1, np.int64)
+        open_, slot = np.arange(len(key)), self._slot(key)
+        while len(open_):
+            found = self.key[slot]
+            hit = found == key[open_]
+            out[open_[hit]] = slot[hit]
+            go = ~hit & (found != 0)
+            open_, slot = open_[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        out[(out >= 0) & (self.check[out] != check)] = -2
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Put in words that are not here, whose keys differ; `flat` has their ids one after another."""
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
+        begin = self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used, self.words = self.used + len(flat), self.words + len(key)
+        todo, slot = np.arange(len(key)), self._slot(key)
+        while len(todo):
+            free = self.key[slot] == 0
+            _, first = np.unique(slot[free], return_index=True)
+            put, at = todo[free][first], slot[free][first]
+            self.key[at], self.check[at], self.begin[at], self.size[at] = key[put], check[put], begin[put], size[put]
+            left = self.key[slot] != key[todo]
+            todo, slot = todo[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+
 class LibraryEncoder:
-    """The tokenizers library over distinct words: all new words of a batch are one string to it, cut
-    again by the bytes its tokens cover."""
+    """The tokenizers library, asked once for each distinct word a worker remembers.
+
+    Texts are cut where the library's pattern always ends a piece: before spaces, before marks that end
+    a word of letters, and around single line ends. Words are hashed and looked up as
+    arrays. Of new ones, those of letters only are one piece and go to the library's model together,
+    told apart by the bytes that ids cover; others go through the whole library. So do texts that hold
+    an added token, which the library finds before any word, and texts with longer runs of white space.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        # The same model for words of letters only, which are one piece each: cut at spaces, no pattern.
-        self.letters = Tokenizer.from_file(path)
-        self.letters.encode_special_tokens = True
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.pre_tokenizer, self.pieces.post_processor = pre_tokenizers.CharDelimiterSplit("\n"), None
+        # The library writes a byte as one character: printable ones as themselves, the rest from 256 on.
+        plain = np.zeros(256, bool)
+        plain[33:127] = plain[161:173] = plain[174:] = True
+        self.written = np.where(plain, np.arange(256), 255 + np.cumsum(~plain)).astype("<u2")
+        self.written[0] = ord("\n")  # between words
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():  # a token is written with one character per byte
+        for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
-        self.marks = {m: np.array(ids, np.int32).tobytes() for m, ids in zip(",.", self.ids([",", "."]), strict=True)}
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.is_letter, self.is_print = np.zeros(256, bool), np.zeros(256, bool)
+        self.is_letter[65:91] = self.is_letter[97:123] = self.is_print[33:127] = True
+        # First bytes of the letters from U+00C0 to U+024F.
+        self.is_lead, self.is_mark = np.zeros(256, bool), np.zeros(256, bool)
+        self.is_lead[0xC3:0xCA] = True
+        self.is_mark[list(MARKS)] = True
+        self.table = WordTable(12)
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new, stems = [], []
-        for w in words - known.keys():
-            if (x := old.get(w)) is not None:
-                known[w] = x
-            elif w[-1] in self.marks and w[1:-1].isalpha():
-                stems.append(w)  # letters and a mark are two pieces
-            else:
-                new.append(w)
-        for w in {w[:-1] for w in stems} - known.keys():
-            if (x := old.get(w)) is not None:
-                known[w] = x
-            else:
-                new.append(w)
-        letters, others, alone = [], [], []
-        for w in new:
-            if w[0] != " " or len(w) < 2 or w[1].isspace() or w[-1].isspace():
-                alone.append(w)
-            else:
-                (letters if w[1:].isalpha() else others).append(w)
-        for w, ids in zip(alone, self.ids(alone), strict=True):
-            known[w] = np.array(ids, np.int32).tobytes()
-        self._learn_joined(self.letters, letters)
-        self._learn_joined(self.library, others)
-        for w in stems:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
-
-    def _learn_joined(self, library, words: list[str], block: int = 200) -> None:
-        """Words that start with a space, many to a string, cut again by the bytes the ids stand for."""
-        known = self.known
-        parts = [words[i : i + block] for i in range(0, len(words), block)]
-        if not parts:
-            return
-        found = library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
-        token_end = np.cumsum(self.n_bytes[ids])
-        word_end = np.cumsum([len(w.encode()) for w in words])
-        cut = (4 * np.searchsorted(token_end, word_end, "right")).tolist()
-        raw, start = ids.tobytes(), 0
-        for w, end in zip(words, cut, strict=True):
-            known[w] = raw[start:end]
-            start = end
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [split_words(t) for t in texts]
-        self.learn(set().union(*cut))
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in c]), np.int32) for c in cut]
+    def letters(self, data: np.ndarray, size: np.ndarray, block: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each): of words of letters, which may start with a space, given as their bytes
+        one after another."""
+        end = np.cumsum(size)
+        raw = np.zeros(len(data) + len(size), np.uint8)
+        raw[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
+        place = np.r_[0, end + np.arange(1, len(size) + 1)]  # where each word starts, with what is between
+        parts = [self.written[raw[place[i] : place[min(i + block, len(size))] - 1]].tobytes().decode("utf-16-le") for i in range(0, len(size), block)]
+        found = [np.array(e.ids, np.int32) for e in self.pieces.encode_batch_fast(parts, add_special_tokens=False)]
+        ids = np.concatenate([*found, np.zeros(0, np.int32)])
+        cut = np.searchsorted(np.cumsum(self.n_bytes[ids]), end, "right")
+        return ids, np.diff(np.r_[0, cut])
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Two polynomial hashes, modulo 2 ** 64, of each span of `data`."""
+        if not self.powers or len(self.powers[0][0]) < len(data):
+            self.powers = []
+            for base in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93):
+                grown = [np.cumprod(np.full(max(1 << 18, len(data)) + 1, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64))]
+                self.powers.append((grown[0], grown[1]))
+        out = []
+        for up, down in self.powers:
+            sums = np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * up[: len(data)])]
+            out.append((sums[end] - sums[start]) * down[start])
+        out[0][out[0] == 0] = 1  # of a free slot
+        return out
+
+    def encode_batch(self, texts: list[str], block: int = 1 << 17) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        held: list[int] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if not t or "\0" in t or any(x in t for x in self.added) or SPACES.search(t):
+                out[i] = self.whole(t)
+                continue
+            if held and size + len(t) > block:
+                self._together(texts, held, out)
+                held, size = [], 0
+            held.append(i)
+            size += len(t)
+        if held:
+            self._together(texts, held, out)
+        return out
+
+    def _together(self, texts: list[str], held: list[int], out: list) -> None:
+        raw = ("\0".join([texts[i] for i in held]) + "\0").encode()
+        data = np.frombuffer(raw, np.uint8)
+        space, stop, line = data == 32, data == 0, data == 10
+        before = np.r_[np.uint8(0), data[:-1]]
+        sign = (before == 0xC3) & ((data == 0x97) | (data == 0xB7))  # two signs among the letters
+        letter = self.is_letter[data] | ((data & 0xC0) == 0x80) & self.is_lead[before] & ~sign
+        ends_letter = np.r_[False, letter[:-1]]
+        begins = space | stop | np.r_[True, stop[:-1]]
+        # Marks from the end of a word of letters up to white space.
+        mark = self.is_mark[data]
+        other = np.flatnonzero(~mark)
+        run = np.flatnonzero(mark & ends_letter)
+        after = data[other[np.searchsorted(other, run)]]
+        begins[run[(after == 32) | (after == 0) | (after == 10)]] = True
+        # Single line ends between other characters.
+        line &= (self.is_print[before] | ends_letter) & np.r_[(self.is_print | self.is_lead)[data[1:]], False]
+        begins |= line | np.r_[False, line[:-1]]
+        start = np.flatnonzero(begins)
+        end = np.r_[start[1:], len(data)]
+        key, check = self.hashes(data, start, end)
+        if self.table.words > REMEMBERED:
+            self.table = WordTable(12)
+        slot = self.table.find(key, check)
+        short = end - start <= WORD
+        if (new := np.flatnonzero((slot == -1) & short)).size:
+            new = new[np.unique(key[new], return_index=True)[1]]
+            if 2 * (self.table.words + len(new)) > len(self.table.key):
+                self._grow(self.table.words + len(new))
+            odd = np.r_[0, np.cumsum(~letter & ~self.is_lead[data])]
+            head = start[new] + space[start[new]]
+            plain = (odd[end[new]] == odd[head]) & (head < end[new])
+            some, rest = new[plain], new[~plain]
+            length = end[some] - start[some]
+            self.table.add(key[some], check[some], *self.letters(data[_spans(start[some], length)], length))
+            found = [self.whole(raw[a:b].decode()) if raw[a] else np.zeros(0, np.int32) for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+            self.table.add(key[rest], check[rest], np.concatenate([*found, np.zeros(0, np.int32)]), np.fromiter(map(len, found), np.int64, len(found)))
+            slot = self.table.find(key, check)
+        table, alone = self.table, np.flatnonzero((slot < 0) | ~short)
+        begin, size = table.begin[slot], table.size[slot]
+        ids = table.ids
+        if alone.size:  # long words, and any whose hash another one has
+            found = [self.whole(raw[start[i] : end[i]].decode()) for i in alone.tolist()]
+            size[alone] = [len(x) for x in found]
+            begin[alone] = len(ids) + np.cumsum(size[alone]) - size[alone]
+            ids = np.concatenate([ids, *found])
+        ids = ids[_spans(begin, size)]
+        cut = np.cumsum(size)[stop[start]].tolist()
+        for i, a, b in zip(held, [0, *cut[:-1]], cut, strict=True):
+            out[i] = ids[a:b]
+
+    def _grow(self, words: int) -> None:
+        old = self.table
+        self.table = WordTable(max(old.bits + 1, int(4 * words).bit_length()))
+        at = np.flatnonzero(old.key)
+        self.table.add(old.key[at], old.check[at], old.ids[_spans(old.begin[at], old.size[at])], old.size[at])
 
 
 @functools.cache
@@ -134,75 +255,95 @@ def encoder(path: str) -> LibraryEncoder:
 # -- the grammar ---------------------------------------------------------------------------------
 
 
-def _choose(pairs: np.ndarray, counts: np.ndarray, room: int) -> list[int]:
-    """The most frequent pairs that cannot overlap one another."""
-    order = np.lexsort((pairs, -counts))[: 4 * 2048]
-    left, right, chosen = set(), set(), []
-    for p in pairs[order].tolist():
-        a, b = p >> 16, p & 0xFFFF
-        if a == b:
-            if not chosen:
-                return [p]
-            continue
-        if a not in right and b not in left:
-            left.add(a), right.add(b), chosen.append(p)
-            if len(chosen) >= min(room, 2048):
-                break
-    return chosen
-
-
-def compress(docs: list[np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols of each document, rules): Re-Pair over documents of ids below TERMINALS."""
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the spans that start at `begin`, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def compress(docs: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbols of each document, rules): Re-Pair over documents of ids below TERMINALS, until no
+    pair stands `least` times or the symbols are used up.
+
+    A round takes the pairs at least `SHARE` times as often as the most frequent one. Where two of them
+    overlap the more frequent one is replaced, in a run of equal symbols every second place from its
+    left. A pair that wins too few places waits for a later round; one with a rule already needs none.
+    """
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    seq = np.concatenate([*docs, np.zeros(0, np.int32)]).astype(np.uint32)
-    doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+    seq = np.full(int(sizes.sum()) + len(docs), FENCE, np.uint32)  # a fence after each document
+    seq[_spans(np.cumsum(sizes + 1) - sizes - 1, sizes)] = np.concatenate([*docs, np.zeros(0, np.int32)])
     rules: list[int] = []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        inside = doc[1:] == doc[:-1]
+    symbol_of: dict[int, int] = {}
+    while len(seq) > 1 and len(rules) < FENCE - TERMINALS:
         pair = seq[:-1] << 16 | seq[1:]
-        ordered = np.sort(pair[inside])
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[starts, len(ordered)])
-        often = counts >= LEAST
-        room = 65_536 - TERMINALS - len(rules)
-        if not often.any() or room <= 0:
+        ordered = np.sort(pair)
+        starts = np.flatnonzero(ordered[1:] != ordered[:-1])
+        counts = np.diff(np.r_[-1, starts, len(ordered) - 1])
+        starts, counts = np.r_[starts, len(ordered) - 1][counts >= least], counts[counts >= least]
+        ordered = ordered[starts]
+        inside = (ordered >> 16 != FENCE) & (ordered & 0xFFFF != FENCE)
+        ordered, counts = ordered[inside], counts[inside]
+        if not len(counts):
             break
-        chosen = np.array(_choose(ordered[starts[often]], counts[often], room), np.uint32)
-        by = np.argsort(chosen)
-        symbol = np.empty(len(chosen), np.uint32)
-        symbol[by] = np.arange(TERMINALS + len(rules), TERMINALS + len(rules) + len(chosen))[by]
-        ranked = chosen[by]
+        often = counts >= SHARE * counts.max()
+        chosen, count = ordered[often], counts[often]
+        rank = np.empty(len(chosen), np.int32)
+        rank[np.lexsort((chosen, -count))] = np.arange(len(chosen))
         of_left = np.zeros(65_536, bool)
         of_left[chosen >> 16] = True
         of_right = np.zeros(65_536, bool)
         of_right[chosen & 0xFFFF] = True
-        at = np.flatnonzero(inside & of_left[seq[:-1]] & of_right[seq[1:]])
-        slot = np.minimum(np.searchsorted(ranked, pair[at]), len(ranked) - 1)
-        hit = ranked[slot] == pair[at]
+        at = np.flatnonzero(np.take(of_left, seq[:-1]) & np.take(of_right, seq[1:]))
+        key = pair[at]
+        slot = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
+        hit = chosen[slot] == key
         at, slot = at[hit], slot[hit]
-        if len(chosen) == 1 and chosen[0] >> 16 == chosen[0] & 0xFFFF and len(at):
-            # Within a run of hits every second one, from its left.
-            first = np.r_[True, np.diff(at) != 1]
-            begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        # Every second place of a run of one pair, then places that no better pair overlaps.
+        touch = np.diff(at) == 1
+        goes_on = touch & (slot[1:] == slot[:-1])
+        if goes_on.any():
+            begin = np.maximum.accumulate(np.where(np.r_[False, goes_on], 0, np.arange(len(at))))
             even = (np.arange(len(at)) - begin) % 2 == 0
             at, slot = at[even], slot[even]
-        seq[at] = symbol[by][slot]
+            touch = np.diff(at) == 1
+        better = rank[slot[1:]] < rank[slot[:-1]]
+        won = ~(np.r_[touch & better, False] | np.r_[False, touch & ~better])
+        at, slot = at[won], slot[won]
+        uses = np.bincount(slot, minlength=len(chosen))
+        symbol = np.zeros(len(chosen), np.int64)
+        for i in np.flatnonzero(uses).tolist():
+            p = int(chosen[i])
+            if p not in symbol_of and 2 * uses[i] >= least and len(rules) < FENCE - TERMINALS:
+                symbol_of[p] = TERMINALS + len(rules)
+                rules.append(p)
+            symbol[i] = symbol_of.get(p, 0)
+        new = symbol[slot]
+        at, new = at[new > 0], new[new > 0]
+        seq[at] = new
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, doc = seq[keep], doc[keep]
-        rules += chosen.tolist()
-    return seq.astype(np.uint16), np.bincount(doc, minlength=len(docs)), np.array(rules, np.uint32)
-
-
-def expansions(rules: np.ndarray) -> list[np.ndarray]:
-    """The ids that each rule stands for."""
-    out: list[np.ndarray] = []
-    one = lambda s: np.array([s], np.int32) if s < TERMINALS else out[s - TERMINALS]
-    for r in rules.tolist():
-        out.append(np.concatenate([one(r >> 16), one(r & 0xFFFF)]))
-    return out
+        seq = seq[keep]
+    fences = np.flatnonzero(seq == FENCE)
+    return seq[seq != FENCE].astype(np.uint16), np.diff(np.r_[-1, fences]) - 1, np.array(rules, np.uint32)
+
+
+def expansions(rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begin, size): what every symbol stands for, end to end, with its place and length."""
+    size = np.r_[np.ones(TERMINALS, np.int64), lengths]
+    begin = np.cumsum(size) - size
+    flat = np.zeros(int(size.sum()), np.int32)
+    flat[:TERMINALS] = np.arange(TERMINALS)
+    left, right = (rules >> 16).astype(np.int64), (rules & 0xFFFF).astype(np.int64)
+    depth = np.zeros(TERMINALS + len(rules), np.int64)
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True), TERMINALS):
+        depth[i] = max(depth[a], depth[b]) + 1
+    # Rules of one depth are filled together, from those below.
+    for d in range(1, int(depth.max()) + 1):
+        i = np.flatnonzero(depth == d)
+        a, b = left[i - TERMINALS], right[i - TERMINALS]
+        flat[_spans(begin[i], size[a])] = flat[_spans(begin[a], size[a])]
+        flat[_spans(begin[i] + size[a], size[b])] = flat[_spans(begin[b], size[b])]
+    return flat, begin, size
 
 
 # -- shards --------------------------------------------------------------------------------------
@@ -243,19 +384,20 @@ class Shard:
         self.rules, self.lengths = pairs[:, 0] << 16 | pairs[:, 1], take("<u4", rules)
         self.table, self.nulls, self.symbols = take("<i8,<u4,<u4", docs), take("u1", docs), take("<u2", symbols)
         self.first = np.r_[0, np.cumsum(self.table["f2"], dtype=np.int64)]
-        self.parts = expansions(self.rules)
-        # All expansions end to end, ids first, so any symbols expand by one gather.
-        self.flat = np.concatenate([np.arange(TERMINALS, dtype=np.int32), *self.parts])
-        self.size = np.r_[np.ones(TERMINALS, np.int64), self.lengths]
-        self.begin = np.cumsum(self.size) - self.size
+        self.flat, self.begin, self.size = expansions(self.rules, self.lengths.astype(np.int64))
 
     def __len__(self) -> int:
         return len(self.table)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        size = self.size[symbols]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.begin[symbols] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return self.flat[_spans(self.begin[symbols], self.size[symbols])]
+
+    def checksums(self) -> list[int]:
+        """The CRC-32 of all ids of each document, as little-endian 32-bit integers, from one expansion."""
+        raw = self.expand(self.symbols).astype("<u4").tobytes()
+        end = struct.pack("<I", self.end)
+        cut = (4 * np.r_[0, np.cumsum(self.table["f1"].astype(np.int64) - 1)]).tolist()
+        return [zlib.crc32(end, zlib.crc32(raw[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def document(self, i: int) -> np.ndarray:
         """All ids of document i, the end id included."""
@@ -285,8 +427,8 @@ def write_shards(docs: DataFrame, path: str, parts: int, shard: int = SHARD) ->
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([count], pa.int64()), pa.array([pack(ids, held)], pa.binary())], ["part", "shard", "before", "tokens", "data"])
 
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                rows = b.slice(start, 256)
+            for start in range(0, b.num_rows, 2048):
+                rows = b.slice(start, 2048)
                 for i, x in zip(rows.column(0).to_pylist(), code.encode_batch(rows.column(1).to_pylist()), strict=True):
                     ids.append(i), held.append(x)
                     count += len(x) + 1
@@ -310,8 +452,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
             for base, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = Shard(data.as_py())
                 n = s.table["f1"].astype(np.int64)
-                crc = [zlib.crc32(s.document(i).astype("<u4").tobytes()) for i in range(len(s))]
-                yield pa.RecordBatch.from_arrays([pa.array(s.table["f0"], mask=s.nulls.astype(bool)), pa.array(base + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.table["f0"], mask=s.nulls.astype(bool)), pa.array(base + np.cumsum(n) - n), pa.array(n), pa.array(s.checksums(), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # One row per part, and parts are at most as many as partitions.
     sums = shards.groupBy("part").agg(F.sum("tokens").alias("n")).orderBy("part").collect()

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -73,13 +74,52 @@ def test_grammar_round_trip_and_random_access():
         assert [shard.token(i, p) for p in range(0, len(d) + 1, 7)] == [*d.tolist(), 0][::7]
     assert shard.nulls.tolist() == [0, 1, 0, 0, 0, 0, 0, 0]
     for i, r in enumerate(shard.rules.tolist()):
-        assert max(r >> 16, r & 0xFFFF) < repair.TERMINALS + i and shard.lengths[i] == len(shard.parts[i])
+        assert max(r >> 16, r & 0xFFFF) < repair.TERMINALS + i and shard.lengths[i] == len(plain_expansion(shard.rules.tolist(), repair.TERMINALS + i))
 
 
 def test_library_words_equal_whole_texts():
     code = repair.encoder(P.path("byte_bpe_50k.json"))
     ts = texts()
     assert [x.tolist() for x in code.encode_batch(ts)] == code.ids(ts)
+    assert 50_256 in code.encode_batch(["a <|endoftext|> b"])[0].tolist()
+    words = ["one", "Two,", "thrée.\nFour", "'s", "it's", "x1", "12", "end###", "a\nb\nc", "\n", "a\n\nb", "中文", "\u0870\u088e", "(in)", "q\"", "\u2028", "tab\there", "\U00031350"]
+    random.seed(3)
+    mixed = [" ".join(random.choice(words) for _ in range(random.randint(0, 30))) for _ in range(2000)]
+    assert [x.tolist() for x in code.encode_batch(mixed)] == code.ids(mixed)
+
+
+def test_few_remembered_words_change_nothing(monkeypatch):
+    monkeypatch.setattr(repair, "REMEMBERED", 3)
+    code = repair.LibraryEncoder(P.path("byte_bpe_50k.json"))
+    for start in range(0, 200, 20):
+        part = texts(200)[start : start + 20]
+        assert [x.tolist() for x in code.encode_batch(part)] == code.ids(part)
+
+
+def plain_expansion(rules, symbol):
+    if symbol < repair.TERMINALS:
+        return [symbol]
+    r = rules[symbol - repair.TERMINALS]
+    return plain_expansion(rules, r >> 16) + plain_expansion(rules, r & 0xFFFF)
+
+
+def test_grammar_ends_when_no_pair_pays():
+    draw = np.random.default_rng(4)
+    docs = [draw.zipf(1.4, n).clip(0, 400).astype(np.int32) for n in (3000, 1, 700)] + [np.full(1000, 9, np.int32), np.tile(np.array([1, 2, 3], np.int32), 90)]
+    symbols, per_doc, rules = repair.compress(docs)
+    assert len(set(rules.tolist())) == len(rules)
+    out = [x for s in symbols.tolist() for x in plain_expansion(rules.tolist(), s)]
+    assert out == np.concatenate(docs).tolist()
+    cut = np.split(symbols, np.cumsum(per_doc)[:-1])
+    left = Counter()
+    for d in cut:
+        d, i = d.tolist(), 0
+        while i + 1 < len(d):  # places that do not overlap
+            left[d[i], d[i + 1]] += 1
+            i += 2 if d[i : i + 1] * 2 == d[i : i + 2] else 1
+    assert max(left.values()) < repair.LEAST
+    shard = repair.Shard(repair.pack(list(range(len(docs))), docs))
+    assert shard.checksums() == [zlib.crc32(np.append(d, 0).astype("<u4").tobytes()) for d in docs]
 
 
 def test_shards_of_a_table(spark):
@@ -87,7 +127,6 @@ def test_shards_of_a_table(spark):
 
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rows = [r for r in ODD if r[0] is not None] + [(20 + i, t) for i, t in enumerate(texts(60))]
     shards = repair.write_shards(documents(spark, rows), path, 3, shard=500)
     found = sorted(repair.read_shards(shards).collect(), key=lambda r: r.start)
