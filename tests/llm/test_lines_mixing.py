@@ -16,12 +16,26 @@ OWN = "this is a line of its own, and long enough, number {}"
 
 def test_spread_lines_stay_in_their_first_document(spark):
     rows = [(i, "\n".join([NAV, OWN.format(i), OWN.format(i + 1000)]), f"site{i % 12}") for i in range(40)]
-    rows.append((99, NAV, "site1"))  # it would lose all its text: a copy, left whole
+    rows.append((99, NAV, "site1"))  # all its text is boilerplate
+    rows.append((97, rows[0][1], "site2"))  # a copy of the first document stays like it
+    rows += [(200 + i, f"Read more\n \n{OWN.format(300 + i)}\n{OWN.format(400 + i)}", f"site{i}") for i in range(9)]  # short lines count, blank ones do not
     rows.append((98, None, "site1"))
+    core = [OWN.format(f"core {k}") for k in range(6)]
+    rows += [(600 + i, "\n".join([*core[: 6 - i % 2], OWN.format(600 + i)]), f"site{i}") for i in range(10)]  # near copies
     found = {r.doc_id: r for r in lines.dedup_lines(documents(spark, rows)).collect()}
     assert found[0].text.startswith(NAV) and found[0].n_removed == 0
     assert all(NAV not in found[i].text and found[i].n_removed == 1 for i in range(1, 40))
-    assert found[99].text == NAV and found[98].text is None and found[5].fp == "x"
+    assert all(found[600 + i].n_removed == 0 for i in range(10))
+    assert found[99].text == "" and found[97].text == rows[0][1]
+    assert found[200].n_removed == 0 and all(found[200 + i].text.startswith(" \n") and found[200 + i].n_removed == 1 for i in range(1, 9))
+    assert found[98].text is None and found[5].fp == "x"
+
+
+def test_made_columns_keep_clear_of_given_ones(spark, tmp_path):
+    docs = documents(spark, [(1, "a\nb"), (2, None)]).withColumn("n_lines", F.lit("x")).withColumn("N_REMOVED", F.lit("y"))
+    lines.dedup_lines(docs).write.parquet(str(tmp_path / "out"))
+    found = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (found[1].n_lines, found[1].N_REMOVED, found[1].n_lines_, found[1].n_removed_) == ("x", "y", 2, 0)
 
 
 def test_near_threshold_counts_are_exact(spark):
