@@ -5,9 +5,14 @@ last place. That depends on the k-mer alone, so the same passage yields the same
 stands. The kept k-mers are hashed to 32 bits, and the smallest `SKETCH` distinct hashes of a text are
 its fingerprint (all of them, where it has fewer), whose overlap estimates the Jaccard likeness.
 
-Null text counts as empty; an empty text has no anchors and an empty fingerprint; a text of fewer
-bytes than K is one anchor itself. Two empty fingerprints are alike (1.0), an empty and another one
-are not (0.0).
+Anchors of two texts that have the same hash at the same place match by position: `placed` gives the
+share of a text's anchors that do.
+
+Null text counts as empty; an empty text has no anchors and an empty fingerprint, and it alone has; a
+text of fewer bytes than K is one anchor itself, and one without a closed syncmer has its k-mer of
+smallest hash. Two empty fingerprints are alike (1.0), an empty and another one are not (0.0). Rows that
+share a doc_id follow one another by text, null ids come first; equal texts have equal fingerprints. Of
+a long text only its hashes are held beside it. An empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,10 +56,13 @@ def sketch(hashes: Column, size: int = SKETCH) -> Column:
 
 
 def short_or(data: Column, hashes: Column, k: int = K) -> Column:
-    """A text of fewer than k bytes is one anchor, an empty one has none."""
+    """A text of fewer than k bytes is one anchor, an empty one has none. A text without a closed syncmer
+    has its k-mer of smallest hash."""
+    every = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (k - 1)), lambda i: _hash32(F.substring(b, i, F.lit(k))))
     return (
         F.when(F.length(data) == 0, F.array().cast("array<int>"))
         .when(F.length(data) < k, F.array(_hash32(data)))
+        .when(F.size(hashes) == 0, F.array(F.array_min(every(data))))
         .otherwise(hashes)
     )
 
@@ -78,6 +86,14 @@ def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
     )
 
 
+def placed(places: Column, hashes: Column, other_places: Column, other_hashes: Column) -> Column:
+    """The share of anchors (places and hashes of a text) that the other text has at the same places; 1
+    where there is none."""
+    key = lambda p, h: F.zip_with(p, h, lambda i, x: F.shiftleft(x.cast("long"), 32) + i)
+    both = F.size(F.array_intersect(key(places, hashes), key(other_places, other_hashes)))
+    return F.when(F.size(places) == 0, F.lit(1.0)).otherwise(both / F.size(places))
+
+
 def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """`docs` (doc_id, text) with the text of the next document in ascending doc_id order, the last
     one followed by the first. Ties of doc_id go by text; null ids come first.
@@ -122,11 +138,15 @@ def edit_fingerprints(docs: DataFrame, buckets: int) -> DataFrame:
     rows = rows.withColumn("places", anchor_places(F.col("data")))
     rows = rows.withColumn("hashes", anchors(F.col("data"), F.col("places")))
     rows = rows.withColumn("fp", sketch(short_or(F.col("data"), F.col("hashes"))))
-    tail = F.substring("edited", F.greatest(F.col("kept") - (K - 2), F.lit(1)), F.length("edited"))
+    first = F.greatest(F.col("kept") - (K - 2), F.lit(1))
+    tail = F.substring("edited", first, F.length("edited"))
     untouched = let(F.col("kept") - (K - 1), lambda last: F.size(F.filter(F.col("places"), lambda i: i <= last)))
-    rows = rows.withColumn("edited_hashes", F.concat(F.slice("hashes", F.lit(1), untouched), let(tail, lambda b: anchors(b, anchor_places(b)))))
+    rows = rows.withColumn("tail_places", anchor_places(tail))
+    moved = F.transform("tail_places", lambda i: i + (first - 1))
+    rows = rows.withColumn("edited_hashes", F.concat(F.slice("hashes", F.lit(1), untouched), let(tail, lambda b: anchors(b, F.col("tail_places")))))
     rows = rows.withColumn("edited_fp", sketch(short_or(F.col("edited"), F.col("edited_hashes"))))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "bucket", "guard", "ord", "text")
+    rows = rows.withColumn("edited_placed", placed(F.concat(F.slice("places", F.lit(1), untouched), moved), F.col("edited_hashes"), F.col("places"), F.col("hashes")))
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "edited_placed", "bucket", "guard", "ord", "text")
     rows = rows.withColumn("next_fp", F.lead("fp").over(near)).where(~F.col("guard"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
@@ -134,6 +154,7 @@ def edit_fingerprints(docs: DataFrame, buckets: int) -> DataFrame:
         as_string(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "edited_placed",
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from redpen.llm import syncmers
@@ -54,3 +55,46 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("rows", [[], [(5, "only one document here, and it is followed by itself")]])
 def test_no_or_one_row(spark, rows):
     assert syncmers.edit_fingerprints(documents(spark, rows), 4).count() == len(rows)
+
+
+def plain_hash(data):
+    h = xxhash.xxh64_intdigest(data, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_anchors(data):
+    """{place: hash} of the anchors of some bytes."""
+    k, s = syncmers.K, syncmers.S
+    if len(data) < k:
+        return {1: plain_hash(data) >> 32} if data else {}
+    smers = [plain_hash(data[i : i + s]) for i in range(len(data) - s + 1)]
+    kmers = {i + 1: plain_hash(data[i : i + k]) >> 32 for i in range(len(data) - k + 1)}
+    closed = {i: h for i, h in kmers.items() if min(w := smers[i - 1 : i + k - s]) in (w[0], w[-1])}
+    return closed or dict([min(kmers.items(), key=lambda x: x[1])])
+
+
+def plain_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    union = sorted(a | b)[: syncmers.SKETCH]
+    return len(a & b & set(union)) / len(union)
+
+
+def test_all_against_brute_force(spark):
+    random.seed(12)
+    rows = [(i, "".join(random.choice("abcdeé ") for _ in range(i % 41))) for i in range(400)]
+    rows += [(400 + i, "".join(random.choice("abcdefgh ") for _ in range(random.randint(100, 3000)))) for i in range(30)] + [(500, "different yy")]
+    found = {r.doc_id: r for r in syncmers.edit_fingerprints(documents(spark, rows), 6).collect()}
+    of = lambda t: set(sorted(set(plain_anchors(t.encode()).values()))[: syncmers.SKETCH])
+    text = lambda f: "".join(f"{h & 0xFFFFFFFF:08x}" for h in sorted(f))
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        a, b, c, r = of(t), of(edited), of(after), found[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (text(a), text(b))
+        assert r.near_edited == pytest.approx(plain_likeness(a, b)) and r.near_next == pytest.approx(plain_likeness(a, c))
+        assert (r.fingerprint == "") == (t == "")
+        if len(edited.encode()) > 200:
+            x, y = plain_anchors(edited.encode()), plain_anchors(t.encode())
+            assert r.edited_placed == pytest.approx(len(x.items() & y.items()) / len(x))
