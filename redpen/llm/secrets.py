@@ -8,7 +8,9 @@ own, `labelled_findings` makes a set by rule: keys of usual forms in usual place
 false alarms (commit ids, checksums, UUIDs, paths, versions, plain numbers, identifiers).
 
 Null and empty texts have no candidates. Places count code points from 0. Rows with equal doc_id are
-scanned each for itself. Other columns are ignored.
+scanned each for itself. Other columns are ignored. A text of any length is read in one pass, and its
+candidates become rows at once, so none is held as a growing list. An empty table gives none. Keys of
+letters only, and of fewer than 16 characters, are no candidates.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from functools import reduce
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -126,7 +128,8 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Random
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, nth, start, candidate, before, after of each candidate of `docs` (doc_id, text)."""
-    rows = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE))
+    # Rows with a number of their own, as a doc_id may repeat.
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("gaps", F.split("text", CANDIDATE, -1))
     one = F.transform(
         "found",
@@ -137,12 +140,10 @@ def candidates(docs: DataFrame) -> DataFrame:
             (F.length(F.get("gaps", i)) + F.when(i > 0, F.length(F.get("found", i - 1))).otherwise(0)).alias("step"),
         ),
     )
-    rows = rows.select("doc_id", one.alias("found"))
-    # Places by a running sum over the steps, one array for a document.
-    starts = F.aggregate("found", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x["step"])))
-    rows = rows.withColumn("starts", starts)
-    rows = rows.select("doc_id", "starts", F.posexplode("found").alias("nth", "f"))
-    return rows.select("doc_id", "nth", F.get("starts", F.col("nth")).cast("long").alias("start"), "f.candidate", "f.before", "f.after")
+    rows = rows.select("row", "doc_id", F.posexplode(one).alias("nth", "f"))
+    # Places by a running sum over the steps of a row; only candidates travel.
+    start = F.sum("f.step").over(Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("doc_id", "nth", start.cast("long").alias("start"), "f.candidate", "f.before", "f.after")
 
 
 def scored(found: DataFrame, model: RandomForestClassificationModel, cut: float = CUT) -> DataFrame:

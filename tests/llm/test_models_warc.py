@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import gzip
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +139,41 @@ def test_pages_table(spark):
     assert {r.target_uri for r in found if r.page_id == 2} == {"urn:page:2"}
     assert all(r.content_length == len(r.block.encode()) for r in found)
     assert warc.derivatives(pages.limit(0)).count() == 0
+
+
+def test_repeated_headers_gzip_and_chunks(spark, tmp_path):
+    body = gzip.compress(PAGE.encode())
+    chunks = b"".join(f"{len(body[i : i + 7]):x};x=1\r\n".encode() + body[i : i + 7] + b"\r\n" for i in range(0, len(body), 7)) + b"0\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunks
+    source = warc.response("http://a", "x")
+    source = warc.Record(source.headers.without("WARC-Payload-Digest"), block)
+    again = next(warc.parse(source.to_bytes()))
+    assert again.payload == PAGE.encode() and again.headers == source.headers
+    meta, text = warc.derive(again)
+    assert b"http-set-cookie: a=1\r\nhttp-set-cookie: b=2\r\n" in meta.block
+    assert text.block.decode() == warc.plain_text(PAGE)
+    assert meta.headers["WARC-Source-Payload-Digest"] == warc.digest(PAGE.encode())
+    records = [warc.response(f"http://{i}", PAGE) for i in range(5)] + [warc.Record(warc.Fields([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<a>")]), b"x")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r.to_bytes()) for r in records))
+    (tmp_path / "b.warc").write_bytes(b"".join(r.to_bytes() for r in records))
+    found = warc.derivatives_of_files(spark, str(tmp_path)).collect()
+    assert len(found) == 20 and len({r.record_id for r in found}) == 10 and {r.target_uri for r in found} == {f"http://{i}" for i in range(5)}
+    with pytest.raises(ValueError):
+        list(warc.parse(gzip.compress(records[0].to_bytes())[:-9]))
+
+
+@pytest.mark.parametrize("piece", ["<script>a", "<!-- b", "<a href=c ", "<", "<title>d", "<html <html", "</"])
+def test_broken_pages_take_one_pass(piece):
+    began = time.perf_counter()
+    text = warc.plain_text("start " + piece * 100_000 + " end")
+    assert text.startswith("start") and time.perf_counter() - began < 5
+    warc.read_page(piece * 100_000 + ">")
+    assert time.perf_counter() - began < 10
+
+
+def test_many_candidates_have_their_places(spark):
+    text = " ".join(f"é{i:04d}abcdef0123456789" for i in range(3000))
+    rows = secrets.candidates(spark.createDataFrame([(1, text), (1, "x " + text), (None, text), (2, None)], "doc_id long, text string")).collect()
+    assert len(rows) == 9000
+    for r in rows:
+        assert r.candidate in (text[r.start : r.start + len(r.candidate)], ("x " + text)[r.start : r.start + len(r.candidate)])
