@@ -8,8 +8,12 @@ vectors, as a direction and a length, with its log length, share of distinct wor
 repetitions. A two-layer numpy network turns that into a logit, divided by a temperature fitted on
 training rows that the network did not see, so scores are calibrated probabilities.
 
-Fitting reads at most `SAMPLE` labelled rows, those of smallest id hash: a bounded, documented sample.
-Labels, lang, source and doc_id never enter a score. Null text counts as empty. Several labels of a
+Fitting reads at most `SAMPLE` labelled rows, those of smallest id hash whose text has at most `LONGEST`
+code points: a bounded, documented sample of at most 100 million code points on the driver. Texts of any
+length are scored whole.
+Labels, lang, source and doc_id never enter a score. Null text counts as empty. Rows that repeat are
+scored each, equal texts alike; other columns go along in a struct, whatever their names; an empty table
+gives an empty one. Several labels of a
 doc_id count by majority, ties as 1; null labels are ignored. Without both classes among the labels
 every score is 0.5.
 """
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, spread
 
-SAMPLE, VOCABULARY, DIM, NONZERO, REACH, HIDDEN, CUT = 5_000, 20_000, 128, 8, 2, 48, 0.3
+SAMPLE, LONGEST, VOCABULARY, DIM, NONZERO, REACH, HIDDEN, CUT = 5_000, 20_000, 20_000, 128, 8, 2, 48, 0.3
 _SHAPES = ["<lower>", "<upper>", "<title>", "<digits>", "<marks>", "<mixed>", "<again>"]
 _AGAIN = _SHAPES.index("<again>")
 _tokens = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
@@ -164,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` ids: a proven bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("label"), F.min("text")).collect()
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("label"), F.min("text")).collect()
     rows.sort()
     return Model([r[2] or "" for r in rows], [r[1] for r in rows])
 
