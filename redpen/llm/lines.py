@@ -42,7 +42,9 @@ def _document(min_chars: int) -> Column:
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site: str = "source") -> DataFrame:
     """(line, keeper): hash of each boilerplate line, and the first document with it."""
-    lines = docs.select(_document(min_chars).alias("of"), F.coalesce(F.concat(F.lit("="), site), F.lit("")).alias("site"), F.explode(_lines(F.col("text"))).alias("l"))
+    # Made below the explode, so once per document.
+    rows = docs.select(_document(min_chars).alias("of"), F.coalesce(F.concat(F.lit("="), site), F.lit("")).alias("site"), _lines(F.col("text")).alias("all"))
+    lines = rows.select("of", "site", F.explode("all").alias("l"))
     lines = lines.where(_counts(F.col("l"), min_chars)).select("of", "site", F.xxhash64("l").alias("line"))
     keeper = F.min(F.when(F.col("of.doc_id").isNotNull(), F.col("of")))
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), keeper.alias("keeper"))
@@ -59,7 +61,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     # The row goes along as one struct, so its column names cannot meet those made here.
     rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
     bad = boilerplate(docs, min_sites, min_chars, site)
-    lines = docs.select(_document(min_chars).alias("of"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("l")).where(_counts(F.col("l"), min_chars))
+    lines = docs.select(_document(min_chars).alias("of"), F.array_distinct(_lines(F.col("text"))).alias("all"))
+    lines = lines.select("of", F.explode("all").alias("l")).where(_counts(F.col("l"), min_chars))
     # The distinct hashes to cut from each document; no text moves, and hot lines meet a small side.
     cuts = lines.select("of", F.xxhash64("l").alias("line")).join(bad, "line").where("of.doc_id != keeper.doc_id and of.text != keeper.text")
     cuts = cuts.groupBy("of.doc_id", "keeper").agg(F.collect_set("line").alias("cut"), F.max("of.n").alias("n"))
