@@ -62,45 +62,62 @@ WORD = 64
 
 
 class WordTable:
-    """Ids of words by two 64-bit hashes: open addressing in arrays, looked up for all words at once."""
+    """Ids of words by two 64-bit hashes, looked up for all words at once. Open addressing leads to a word's
+    number; what is known of a word lies by number, so the words of the first texts, most of them common
+    ones, lie together."""
 
     def __init__(self, bits: int):
         self.bits, self.words, self.used = bits, 0, 0
+        self.number = np.zeros(1 << bits, np.int32)  # 0 in a free slot
         self.key, self.check = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
-        self.begin, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.begin, self.size = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         self.ids = np.zeros(1 << bits, np.int32)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The slot of each word, -1 for words not here and -2 for one whose first hash another word has."""
-        out = np.full(len(key), -1, np.int64)
-        open_, slot = np.arange(len(key)), self._slot(key)
+        """The number of each word, -1 for words not here and -2 for one whose first hash another word has."""
+        slot = self._slot(key)
+        out = self.number[slot]
+        open_ = np.flatnonzero((self.key[out] != key) & (out != 0))
+        slot = slot[open_]
         while len(open_):
-            found = self.key[slot]
-            hit = found == key[open_]
-            out[open_[hit]] = slot[hit]
-            go = ~hit & (found != 0)
-            open_, slot = open_[go], (slot[go] + 1) & ((1 << self.bits) - 1)
-        out[(out >= 0) & (self.check[out] != check)] = -2
+            slot = (slot + 1) & (len(self.number) - 1)
+            out[open_] = found = self.number[slot]
+            go = (self.key[found] != key[open_]) & (found != 0)
+            open_, slot = open_[go], slot[go]
+        other = (self.check[out] != check) & (out != 0)
+        out[out == 0] = -1
+        out[other] = -2
         return out
 
     def add(self, key: np.ndarray, check: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         """Put in words that are not here, whose keys differ; `flat` has their ids one after another."""
+        first, last = self.words + 1, self.words + 1 + len(key)  # number 0 is no word
+        if 2 * last > len(self.number):
+            self._deal(max(self.bits + 1, (4 * last).bit_length()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
-        begin = self.used + np.cumsum(size) - size
+        while last > len(self.key):
+            self.key, self.check, self.begin, self.size = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.key, self.check, self.begin, self.size))
+        self.key[first:last], self.check[first:last], self.size[first:last] = key, check, size
+        self.begin[first:last] = self.used + np.cumsum(size) - size
         self.ids[self.used : self.used + len(flat)] = flat
-        self.used, self.words = self.used + len(flat), self.words + len(key)
-        todo, slot = np.arange(len(key)), self._slot(key)
-        while len(todo):
-            free = self.key[slot] == 0
-            _, first = np.unique(slot[free], return_index=True)
-            put, at = todo[free][first], slot[free][first]
-            self.key[at], self.check[at], self.begin[at], self.size[at] = key[put], check[put], begin[put], size[put]
-            left = self.key[slot] != key[todo]
-            todo, slot = todo[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.used, self.words = self.used + len(flat), last - 1
+        self._place(np.arange(first, last, dtype=np.int32))
+
+    def _deal(self, bits: int) -> None:
+        self.bits, self.number = bits, np.zeros(1 << bits, np.int32)
+        self._place(np.arange(1, self.words + 1, dtype=np.int32))
+
+    def _place(self, numbers: np.ndarray) -> None:
+        slot = self._slot(self.key[numbers])
+        while len(numbers):
+            free = self.number[slot] == 0
+            self.number[slot[free]] = numbers[free]  # the last one of a slot stays
+            left = self.number[slot] != numbers
+            numbers, slot = numbers[left], (slot[left] + 1) & (len(self.number) - 1)
 
 
 class LibraryEncoder:
@@ -214,10 +231,9 @@ class LibraryEncoder:
             self.table = WordTable(12)
         slot = self.table.find(key, check)
         short = end - start <= WORD
-        if (new := np.flatnonzero((slot == -1) & short)).size:
-            new = new[np.unique(key[new], return_index=True)[1]]
-            if 2 * (self.table.words + len(new)) > len(self.table.key):
-                self._grow(self.table.words + len(new))
+        missing = np.flatnonzero((slot == -1) & short)
+        if missing.size:
+            new = missing[np.unique(key[missing], return_index=True)[1]]
             odd = np.r_[0, np.cumsum(~letter & ~self.is_lead[data])]
             head = start[new] + space[start[new]]
             plain = (odd[end[new]] == odd[head]) & (head < end[new])
@@ -226,7 +242,7 @@ class LibraryEncoder:
             self.table.add(key[some], check[some], *self.letters(data[_spans(start[some], length)], length))
             found = [self.whole(raw[a:b].decode()) if raw[a] else np.zeros(0, np.int32) for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
             self.table.add(key[rest], check[rest], np.concatenate([*found, np.zeros(0, np.int32)]), np.fromiter(map(len, found), np.int64, len(found)))
-            slot = self.table.find(key, check)
+            slot[missing] = self.table.find(key[missing], check[missing])
         table, alone = self.table, np.flatnonzero((slot < 0) | ~short)
         begin, size = table.begin[slot], table.size[slot]
         ids = table.ids
@@ -240,12 +256,6 @@ class LibraryEncoder:
         for i, a, b in zip(held, [0, *cut[:-1]], cut, strict=True):
             out[i] = ids[a:b]
 
-    def _grow(self, words: int) -> None:
-        old = self.table
-        self.table = WordTable(max(old.bits + 1, int(4 * words).bit_length()))
-        at = np.flatnonzero(old.key)
-        self.table.add(old.key[at], old.check[at], old.ids[_spans(old.begin[at], old.size[at])], old.size[at])
-
 
 @functools.cache
 def encoder(path: str) -> LibraryEncoder:
@@ -261,6 +271,28 @@ def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+#: Bits of a pair's hash, and a value that stands for no pair: it is one of two fences.
+HASH, NONE = 16, 0xFFFFFFFF
+
+
+def _hash(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(0x9E3779B1) >> np.uint32(32 - HASH)).astype(np.int64)
+
+
+def _frequent(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, number) of those that stand `least` times or more and have no fence, in ascending order."""
+    ordered = np.sort(pair)
+    if len(ordered) < least:
+        return ordered[:0], np.zeros(0, np.int64)
+    # Where a pair stands `least` times, what is `least` - 1 places on is the same pair.
+    same = np.zeros(len(ordered) - least + 3, bool)
+    same[1:-1] = ordered[least - 1 :] == ordered[: len(ordered) - least + 1]
+    edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+    found, count = ordered[edge[:, 0]], edge[:, 1] - edge[:, 0] + least - 1
+    inside = (found >> 16 != FENCE) & (found & 0xFFFF != FENCE)
+    return found[inside], count[inside]
+
+
 def compress(docs: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rules): Re-Pair over documents of ids below TERMINALS, until no
     pair stands `least` times or the symbols are used up.
@@ -276,28 +308,22 @@ def compress(docs: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np
     symbol_of: dict[int, int] = {}
     while len(seq) > 1 and len(rules) < FENCE - TERMINALS:
         pair = seq[:-1] << 16 | seq[1:]
-        ordered = np.sort(pair)
-        starts = np.flatnonzero(ordered[1:] != ordered[:-1])
-        counts = np.diff(np.r_[-1, starts, len(ordered) - 1])
-        starts, counts = np.r_[starts, len(ordered) - 1][counts >= least], counts[counts >= least]
-        ordered = ordered[starts]
-        inside = (ordered >> 16 != FENCE) & (ordered & 0xFFFF != FENCE)
-        ordered, counts = ordered[inside], counts[inside]
-        if not len(counts):
+        chosen, count = _frequent(pair, least)
+        if not len(chosen):
             break
-        often = counts >= SHARE * counts.max()
-        chosen, count = ordered[often], counts[often]
+        often = count >= SHARE * count.max()
+        chosen, count = chosen[often], count[often]
+        order = np.lexsort((chosen, -count))
         rank = np.empty(len(chosen), np.int32)
-        rank[np.lexsort((chosen, -count))] = np.arange(len(chosen))
-        of_left = np.zeros(65_536, bool)
-        of_left[chosen >> 16] = True
-        of_right = np.zeros(65_536, bool)
-        of_right[chosen & 0xFFFF] = True
-        at = np.flatnonzero(np.take(of_left, seq[:-1]) & np.take(of_right, seq[1:]))
-        key = pair[at]
-        slot = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        hit = chosen[slot] == key
-        at, slot = at[hit], slot[hit]
+        rank[order] = np.arange(len(chosen))
+        # Of pairs with one hash the most frequent is looked for, the others wait.
+        place = _hash(chosen)
+        wanted, number = np.full(1 << HASH, NONE, np.uint32), np.zeros(1 << HASH, np.int32)
+        wanted[_hash(np.array([NONE], np.uint32))] = NONE - 1
+        wanted[place[order[::-1]]], number[place[order[::-1]]] = chosen[order[::-1]], order[::-1]
+        place = _hash(pair)
+        at = np.flatnonzero(np.take(wanted, place) == pair)
+        slot = number[place[at]]
         # Every second place of a run of one pair, then places that no better pair overlaps.
         touch = np.diff(at) == 1
         goes_on = touch & (slot[1:] == slot[:-1])
@@ -311,12 +337,14 @@ def compress(docs: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np
         at, slot = at[won], slot[won]
         uses = np.bincount(slot, minlength=len(chosen))
         symbol = np.zeros(len(chosen), np.int64)
-        for i in np.flatnonzero(uses).tolist():
-            p = int(chosen[i])
-            if p not in symbol_of and 2 * uses[i] >= least and len(rules) < FENCE - TERMINALS:
+        used = np.flatnonzero(uses)
+        found = []
+        for p, n in zip(chosen[used].tolist(), uses[used].tolist(), strict=True):
+            if p not in symbol_of and 2 * n >= least and len(rules) < FENCE - TERMINALS:
                 symbol_of[p] = TERMINALS + len(rules)
                 rules.append(p)
-            symbol[i] = symbol_of.get(p, 0)
+            found.append(symbol_of.get(p, 0))
+        symbol[used] = found
         new = symbol[slot]
         at, new = at[new > 0], new[new > 0]
         seq[at] = new
