@@ -33,7 +33,7 @@ from .common import documents, spread
 WIDEST = 256
 #: Distinct words in each of the two generations a worker remembers; when the young one is full it
 #: becomes the old one, so memory is bounded and frequent words stay.
-REMEMBERED = 350_000
+REMEMBERED = 80_000
 _INT = struct.Struct("=i")
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,7 +93,6 @@ class ByteBPE:
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         splits = [(ranks[a], ranks[b[n:]], i) for b, i in ranks.items() for n in range(1, len(b)) if (a := b[:n]) in ranks and b[n:] in ranks]
         self.pairs = PairTable(*(np.array(x, np.int64) for x in zip(*splits, strict=True)))
-        self.pair_rank = {(a, b): i for a, b, i in splits}
         self.marks = {m: _INT.pack(ranks[m.encode()]) for m in ",."}
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
         self.known: dict[str, bytes] = {}
@@ -163,24 +162,27 @@ class ByteBPE:
                 r[(r < 0) | (ids[k[ok], left[ok] + 1] < 0)] = none
                 rank[k[ok], left[ok]] = r
 
+    def _rank(self, a: int, b: int) -> int | None:
+        return self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+
     def _by_heap(self, piece: bytes) -> list[int]:
         ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i) for i in range(n - 1) if (r := self.pair_rank.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := self._rank(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else -1
-            if j < 0 or self.pair_rank.get((ids[i], ids[j])) != r:
+            if j < 0 or self._rank(ids[i], ids[j]) != r:
                 continue
             ids[i], ids[j] = r, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (x := self.pair_rank.get((r, ids[k]))) is not None:
+                if (x := self._rank(r, ids[k])) is not None:
                     heapq.heappush(heap, (x, i))
-            if (h := before[i]) >= 0 and (x := self.pair_rank.get((ids[h], r))) is not None:
+            if (h := before[i]) >= 0 and (x := self._rank(ids[h], r)) is not None:
                 heapq.heappush(heap, (x, h))
         return [i for i in ids if i >= 0]
 

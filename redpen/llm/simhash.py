@@ -115,9 +115,7 @@ def _by_whole_shards(batches: Iterator[pa.RecordBatch], columns: int, answer: Ca
     """`answer` over rows in order of their first column, some batches at a time, no shard cut in two."""
     held: list[list[np.ndarray]] = []
     rows = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (whole.slice(at, batch) for whole in batches for at in range(0, whole.num_rows, batch)):
         new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
         if rows + b.num_rows >= batch:  # all but the last shard, which may go on, is complete
             end = int(np.searchsorted(new[0], new[0][-1]))
