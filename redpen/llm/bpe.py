@@ -33,7 +33,7 @@ from .common import documents, spread
 WIDEST = 256
 #: Distinct words in each of the two generations a worker remembers; when the young one is full it
 #: becomes the old one, so memory is bounded and frequent words stay.
-REMEMBERED = 80_000
+REMEMBERED = 150_000
 _INT = struct.Struct("=i")
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
