@@ -6,7 +6,7 @@ from pyspark.sql import Window
 
 from redpen.functions import text
 from redpen.operators import joins
-from redpen.plans.common import F, cache, over_cache, r6, table
+from redpen.plans.common import F, cache, over_cache, r6, table, whole_sum
 from redpen.plans.registry import register
 
 TURNS = "turns AS (SELECT conv_id AS k, turn, role, length(text) AS n FROM conversations)"
@@ -85,7 +85,7 @@ SIG = "sha256(concat_ws('|', domain, source, gt))"
 def j10_content_signature_join(spark, sf_dir):
     rows = cache(spark, sf_dir).select("row_idx", joins.signature("domain", "source", "gt").alias("sig"))
     firsts = rows.groupBy("sig").agg(F.min("row_idx").alias("first_row"))
-    return rows.join(firsts, "sig").agg(F.count("*").alias("n"), F.count_distinct("sig").alias("signatures"), F.sum("first_row").alias("first_rows"))
+    return rows.join(firsts, "sig").agg(F.count("*").alias("n"), F.count_distinct("sig").alias("signatures"), whole_sum("first_row").alias("first_rows"))
 
 
 @register("j11_signature_reader", over_cache(f"SELECT sig, ocr_text FROM (SELECT {SIG} AS sig, ocr_text, row_idx FROM cache) QUALIFY row_number() OVER (PARTITION BY sig ORDER BY row_idx) = 1"))
@@ -282,7 +282,7 @@ def u2_casebook_union(spark, sf_dir):
 @register("u3_pools_by_budget", over_cache("SELECT budget, count(*) AS n, sum(row_idx) AS ids FROM cache, (SELECT unnest([0.05, 0.1, 0.2])::DOUBLE AS budget) WHERE 1.0::DOUBLE - conf >= 1.0::DOUBLE - budget GROUP BY budget"))
 def u3_pools_by_budget(spark, sf_dir):
     rows = cache(spark, sf_dir).select("row_idx", "conf", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.2)))).alias("budget"))
-    return rows.where(F.lit(1.0) - F.col("conf") >= F.lit(1.0) - F.col("budget")).groupBy("budget").agg(F.count("*").alias("n"), F.sum("row_idx").alias("ids"))
+    return rows.where(F.lit(1.0) - F.col("conf") >= F.lit(1.0) - F.col("budget")).groupBy("budget").agg(F.count("*").alias("n"), whole_sum("row_idx").alias("ids"))
 
 
 @register("t2_pick_top", over_cache("SELECT sample_id, delta FROM cases WHERE label = 'harmful' ORDER BY delta DESC, row_idx LIMIT 12", CASES))
