@@ -1,14 +1,19 @@
 """AVI motion-JPEG media columns: write, index, decode, and cut into shots.
 
 A payload is stored as the quantised coefficients of baseline JPEG frames, which are lossless where
-pixels are not: coefficient i holds 256 + byte. All such values are of size category 9, so one-symbol
-Huffman tables make every coefficient 10 bits (code 0, then the 9-bit value), and with a restart
-marker after each block every block is 64 coefficients in exactly 80 bytes. Frames are 24 pixels wide
-(three blocks, 192 bytes) and up to `ROWS` block rows high; the last frame has the rows that are left.
+pixels are not: a byte b below 128 is the coefficient b - 128, any other b - 127, so none is zero. A
+coefficient of s bits has a Huffman code of 9 - s bits, which makes every coefficient 9 bits, and with
+a restart marker after each block every block is 64 coefficients in exactly 72 bytes, before zeros are
+stuffed behind bytes 0xFF. Frames are 24 pixels wide (three blocks, 192 bytes) and up to `ROWS` block
+rows high; the last frame has the rows that are left.
 The file has the RIFF lists of an AVI with an `idx1` index, by which frames are found.
 
-Shots: a frame starts a new one when the L1 distance of its 16-bin histogram from the frame before
-exceeds both a floor and the mean plus twice the deviation of the last distances within the shot.
+Frames are read by `jpeg.py`, which decodes any baseline JPEG: Huffman codes to quantised coefficients,
+from which the payload comes back, then dequantisation and inverse DCT to pixels, from which histograms
+come. The pixels of our frames are the inverse DCT of text, which looks like noise.
+
+Shots: a frame starts a new one when the L1 distance of its 16-bin pixel histogram from the frame
+before exceeds both a floor and the mean plus twice the deviation of the last distances within the shot.
 
 Null text counts as empty; an empty text is one block row of spaces, and so one clip.
 """
@@ -16,16 +21,17 @@ Null text counts as empty; an empty text is one block row of spaces, and so one
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, spread
+from .jpeg import TOGETHER, Picture, pictures
 
 UNIT, ROWS, FPS = 192, 16, 25
 _BINS, _MEMORY, _FLOOR = 16, 8, 0.35
@@ -44,13 +50,13 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 def _head(rows: int) -> bytes:
-    one = bytes([1] + [0] * 15)  # one code, of one bit
+    table = bytes([1] * 8 + [0] * 8 + [8, 7, 6, 5, 4, 3, 2, 1])  # codes 0, 10, 110, ...
     return b"".join([
         b"\xff\xd8",
         _segment(0xDB, b"\0" + b"\1" * 64),
         _segment(0xC0, struct.pack(">BHHB3B", 8, 8 * rows, 24, 1, 1, 0x11, 0)),
-        _segment(0xC4, b"\x00" + one + b"\x09"),
-        _segment(0xC4, b"\x10" + one + b"\x09"),
+        _segment(0xC4, b"\x00" + table),
+        _segment(0xC4, b"\x10" + table),
         _segment(0xDD, struct.pack(">H", 1)),
         _segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0])),
     ])
@@ -59,61 +65,46 @@ def _head(rows: int) -> bytes:
 _HEADS = [_head(r) for r in range(ROWS + 1)]
 
 
-def _pack(samples: np.ndarray) -> np.ndarray:
-    """Blocks of 64 samples as 80 bytes: four 10-bit units 01xxxxxxxx in five bytes."""
-    a, b, c, d = samples.reshape(-1, 4).T
-    out = np.empty((len(a), 5), np.uint8)
-    out[:, 0] = 0x40 | a >> 2
-    out[:, 1] = (a & 3) << 6 | 0x10 | b >> 4
-    out[:, 2] = (b & 15) << 4 | 0x04 | c >> 6
-    out[:, 3] = (c & 63) << 2 | 1
-    out[:, 4] = d
-    return out.reshape(-1, 80)
+def _unit(byte: int) -> int:
+    """The 9 bits of a byte's coefficient: Huffman code, then the value."""
+    value = byte - 128 if byte < 128 else byte - 127
+    size = abs(value).bit_length()
+    code = (1 << 9 - size) - 2
+    return code << size | (value if value > 0 else value + (1 << size) - 1)
+
 
+_UNITS = np.array([_unit(b) for b in range(256)], np.uint16)
 
-def _unpack(blocks: np.ndarray) -> np.ndarray:
-    p, q, r, s, d = blocks.reshape(-1, 5).T
-    if ((p & 0xC0 != 0x40) | (q & 0x30 != 0x10) | (r & 0x0C != 0x04) | (s & 0x03 != 1)).any():
-        raise ValueError("a coefficient is not of size category 9")
-    return np.stack([p << 2 | q >> 6, (q & 15) << 4 | r >> 4, (r & 3) << 6 | s >> 2, d], 1).reshape(-1)
+
+def _pack(samples: np.ndarray) -> np.ndarray:
+    """Blocks of 64 samples as 72 bytes: eight units of 9 bits in nine bytes."""
+    units = _UNITS[samples].reshape(-1, 8)
+    out = np.empty((len(units), 9), np.uint8)
+    out[:, 0] = units[:, 0] >> 1
+    for i in range(1, 8):
+        out[:, i] = (units[:, i - 1] & (1 << i) - 1) << 8 - i | units[:, i] >> i + 1
+    out[:, 8] = units[:, 7] & 0xFF
+    return out.reshape(-1, 72)
 
 
 def _encode_frame(samples: np.ndarray) -> bytes:
     blocks = _pack(samples)
     n = len(blocks)
-    if (blocks == 0xFF).any():  # never in UTF-8
-        marks = [bytes([0xFF, 0xD0 + i % 8]) for i in range(n)]
-        data = b"".join(x for b, m in zip(blocks, marks, strict=True) for x in (b.tobytes().replace(b"\xff", b"\xff\0"), m))[:-2]
-    else:
-        with_marks = np.empty((n, 82), np.uint8)
-        with_marks[:, :80] = blocks
-        with_marks[:, 80] = 0xFF
-        with_marks[:, 81] = 0xD0 + np.arange(n) % 8
-        data = with_marks.tobytes()[:-2]
-    return _HEADS[n // 3] + data + b"\xff\xd9"
-
-
-def _decode_frame(jpeg: bytes) -> np.ndarray:
-    """The samples of a frame, from its own headers."""
-    if jpeg[:2] != b"\xff\xd8" or jpeg[-2:] != b"\xff\xd9":
-        raise ValueError("not a JPEG frame")
-    at, seen = 2, {}
-    while True:
-        mark, size = jpeg[at + 1], int.from_bytes(jpeg[at + 2 : at + 4], "big")
-        seen.setdefault(mark, []).append(jpeg[at + 4 : at + 2 + size])
-        at += 2 + size
-        if mark == 0xDA:
-            break
-    precision, height, width = struct.unpack(">BHH", seen[0xC0][0][:5])
-    if precision != 8 or any(t[1] != 1 or t[17] != 9 for t in seen[0xC4]) or seen[0xDD][0] != b"\0\1":
-        raise ValueError("not a frame of one-symbol tables and single-block intervals")
-    n, data = height * width // 64, jpeg[at:-2]
-    if len(data) == 82 * n - 2:
-        blocks = np.frombuffer(data + b"\xff\xd0", np.uint8).reshape(n, 82)[:, :80]
-    else:
-        parts = re.split(rb"\xff[\xd0-\xd7]", data)
-        blocks = np.frombuffer(b"".join(p.replace(b"\xff\0", b"\xff") for p in parts), np.uint8).reshape(n, 80)
-    return _unpack(np.ascontiguousarray(blocks))
+    with_marks = np.empty((n, 74), np.uint8)
+    with_marks[:, :72] = blocks
+    with_marks[:, 72] = 0xFF
+    with_marks[:, 73] = 0xD0 + np.arange(n) % 8
+    stuffed = with_marks == 0xFF
+    stuffed[:, 72] = False
+    data = np.insert(with_marks.reshape(-1), np.flatnonzero(stuffed) + 1, 0)
+    return _HEADS[n // 3] + data[:-2].tobytes() + b"\xff\xd9"
+
+
+def _payload(coefficients: np.ndarray) -> np.ndarray:
+    """The bytes that a frame's quantised coefficients hold."""
+    if not coefficients.all() or np.abs(coefficients).max() > 128:
+        raise ValueError("a coefficient that holds no byte")
+    return (coefficients + 128 - (coefficients > 0)).astype(np.uint8).reshape(-1)
 
 
 # -- AVI -----------------------------------------------------------------------------------------
@@ -126,15 +117,18 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 def encode(payload: bytes) -> bytes:
     """An AVI file whose frames hold `payload` (a positive multiple of UNIT bytes)."""
     samples = np.frombuffer(payload, np.uint8)
-    frames = [_encode_frame(samples[i : i + UNIT * ROWS]) for i in range(0, len(samples), UNIT * ROWS)]
+    return file_of([_encode_frame(samples[i : i + UNIT * ROWS]) for i in range(0, len(samples), UNIT * ROWS)], 24, 8 * min(ROWS, len(samples) // UNIT))
+
+
+def file_of(frames: list[bytes], width: int, height: int) -> bytes:
+    """An AVI file of JPEG frames, with its index."""
     n, largest = len(frames), max(map(len, frames))
-    rows = min(ROWS, len(samples) // UNIT)
     chunks = [_chunk(b"00dc", f) for f in frames]
     places = np.cumsum([4, *map(len, chunks)])[:-1]
     index = b"".join(struct.pack("<4sIII", b"00dc", 0x10, p, len(f)) for p, f in zip(places.tolist(), frames, strict=True))
-    avih = struct.pack("<14I", 1_000_000 // FPS, largest * FPS, 0, 0x10, n, 0, 1, largest, 24, 8 * rows, 0, 0, 0, 0)
-    strh = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, 1, FPS, 0, n, largest, 0xFFFFFFFF, 0, 0, 0, 24, 8 * rows)
-    strf = struct.pack("<IiiHH4sIiiII", 40, 24, 8 * rows, 1, 24, b"MJPG", largest, 0, 0, 0, 0)
+    avih = struct.pack("<14I", 1_000_000 // FPS, largest * FPS, 0, 0x10, n, 0, 1, largest, width, height, 0, 0, 0, 0)
+    strh = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, 1, FPS, 0, n, largest, 0xFFFFFFFF, 0, 0, 0, width, height)
+    strf = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", largest, 0, 0, 0, 0)
     strl = _chunk(b"LIST", b"strl" + _chunk(b"strh", strh) + _chunk(b"strf", strf))
     hdrl = _chunk(b"LIST", b"hdrl" + _chunk(b"avih", avih) + strl)
     return _chunk(b"RIFF", b"AVI " + hdrl + _chunk(b"LIST", b"movi" + b"".join(chunks)) + _chunk(b"idx1", index))
@@ -159,18 +153,32 @@ def read_index(avi: bytes) -> tuple[int, list[tuple[int, int]]]:
     return period, [(movi + p + 8, size) for kind, _, p, size in struct.iter_unpack("<4sIII", index) if kind[2:] == b"dc"]
 
 
+def _jpegs(avi: bytes) -> list[bytes]:
+    return [avi[place : place + size] for place, size in read_index(avi)[1]]
+
+
 def frames(avi: bytes) -> Iterator[np.ndarray]:
-    for place, size in read_index(avi)[1]:
-        yield _decode_frame(avi[place : place + size])
+    """The pixels of each frame: its grey plane, or luma."""
+    for p in pictures(_jpegs(avi)):
+        yield p.planes[0]
 
 
 def decode(avi: bytes) -> bytes:
-    return b"".join(f.tobytes() for f in frames(avi))
+    """The payload of a file that `encode` made."""
+    return b"".join(_payload(p.coefficients).tobytes() for p in pictures(_jpegs(avi)))
+
+
+def _counts(frame: np.ndarray) -> np.ndarray:
+    """Pixels of a frame by bin."""
+    return np.bincount((frame >> 4).reshape(-1), minlength=_BINS)
 
 
-def shots(decoded: list[np.ndarray], period: int) -> list[dict]:
+def shots(decoded: Iterable[np.ndarray], period: int) -> list[dict]:
     """Timed clips of the decoded frames, in order; they cover all frames."""
-    hist = np.stack([np.bincount(f >> 4, minlength=_BINS) / len(f) for f in decoded])
+    return _clips(np.stack([_counts(f) / f.size for f in decoded]), period)
+
+
+def _clips(hist: np.ndarray, period: int) -> list[dict]:
     far = np.abs(np.diff(hist, axis=0)).sum(1).tolist()
     cuts, recent = [0], []
     for i, x in enumerate(far, 1):
@@ -181,7 +189,7 @@ def shots(decoded: list[np.ndarray], period: int) -> list[dict]:
             recent = [*recent[1 - _MEMORY :], x]
     return [
         {"first": a, "frames": b - a, "start_ms": a * period // 1000, "end_ms": b * period // 1000, "histogram": np.round(hist[a:b].mean(0) * 255).astype(int).tolist()}
-        for a, b in zip(cuts, [*cuts[1:], len(decoded)], strict=True)
+        for a, b in zip(cuts, [*cuts[1:], len(hist)], strict=True)
     ]
 
 
@@ -193,7 +201,7 @@ def clip_rows(media: DataFrame, key: str, column: str) -> DataFrame:
             rows = []
             for k, avi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if avi:
-                    rows += [{"key": k, "clip": i, **c} for i, c in enumerate(shots(list(frames(avi)), read_index(avi)[0]))]
+                    rows += [{"key": k, "clip": i, **c} for i, c in enumerate(shots(frames(avi), read_index(avi)[0]))]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -204,22 +212,47 @@ def clip_rows(media: DataFrame, key: str, column: str) -> DataFrame:
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
+def _groups(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The UTF-8 texts in order, as many together as jpeg.TOGETHER bytes hold, one at least."""
+    group, size = [], 0
+    for t in texts:
+        data = (t.as_py() or "").encode()
+        if group and size + len(data) > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(data)
+        size += max(len(data), UNIT)
+    if group:
+        yield group
+
+
+def _describe(data: bytes, avi: bytes, period: int, read: Iterator[Picture]) -> tuple:
+    """The digest columns of a text from its file and the pictures read from it."""
+    sha, n, tail, counts = hashlib.sha256(), 0, b"", []
+    for p in read:
+        back = _payload(p.coefficients)
+        sha.update(back)
+        n, tail = n + len(back), back[-16:].tobytes()
+        counts.append(_counts(p.planes[0]))
+    counts = np.stack(counts)
+    pixels = counts.sum(1, keepdims=True)
+    clips = _clips(counts / pixels, period)
+    mean = np.round(counts.sum(0) * 255 / pixels.sum()).astype(np.uint8)
+    feature = f"{len(counts)} frames, clips " + " ".join(f"{c['start_ms']}-{c['end_ms']}" for c in clips) + ", histogram " + mean.tobytes().hex()
+    return len(data), n, sha.hexdigest(), zlib.crc32(tail), len(avi), hashlib.sha256(avi).hexdigest(), feature
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Store each text as an AVI, read it back, and describe both."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column(1):
-                data = (t.as_py() or "").encode()
-                avi = encode(pad(data))
-                period, _ = read_index(avi)
-                decoded = list(frames(avi))
-                back = b"".join(f.tobytes() for f in decoded)
-                clips = shots(decoded, period)
-                mean = np.round(np.bincount(np.frombuffer(back, np.uint8) >> 4, minlength=_BINS) * 255 / len(back)).astype(np.uint8)
-                feature = f"{len(decoded)} frames, clips " + " ".join(f"{c['start_ms']}-{c['end_ms']}" for c in clips) + ", histogram " + mean.tobytes().hex()
-                rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(avi), hashlib.sha256(avi).hexdigest(), feature))
+            for group in _groups(b.column(1)):
+                files = [encode(pad(data)) for data in group]
+                indexes = [read_index(f) for f in files]
+                read = pictures(f[place : place + size] for f, (_, index) in zip(files, indexes, strict=True) for place, size in index)
+                rows += [_describe(data, f, period, islice(read, len(index))) for data, f, (period, index) in zip(group, files, indexes, strict=True)]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(_SCHEMA)[1:], strict=True))], schema=_SCHEMA)
 
